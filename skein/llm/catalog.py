@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bitpack, cuckoo, mixing, packing, simhash
+from skein.llm import bitpack, cuckoo, html_extract, licences, line_dedup, mixing, packing, pq_dedup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "lines", "lines_dropped")
+
+
+def op2_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_files(_table(spark, sf_dir, "documents"), end_id=1)
 
@@ -31,20 +39,33 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), similarity=0.95)
+
+
 def op10_pack_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), end_id=2)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_extract_text": op2_extract_text,
     "op3_token_files": op3_token_files,
     "op4_mix_sources": op4_mix_sources,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_licence_scan": op8_licence_scan,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_pack_related": op10_pack_related,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -154,7 +154,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     texts = part.column("text").to_pylist()
-                    enc.warm(texts)
                     for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
                         shard_file.add(doc_id, np.concatenate([enc.encode(text), end]))
                 batch = next(batches, None)

@@ -8,10 +8,12 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 CHUNK_CHARS = 1 << 20
-#: Marks that the vocabulary's splitting keeps apart from letters before them.
-STOPS = ".,;:!?%$#*&"
+#: A text without these may be lowered, and spaces put around its stops: they touch no other mark, so each is
+#: split off by itself anyway, and its letters are lowered one by one (no final sigma among them).
+MARKED_STOP = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s].)|(?<=_.))")
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _loaded: dict[str, "TextEncoder"] = {}
 
 
@@ -82,6 +84,8 @@ class TextEncoder:
         return self._words(text)
 
     def _words(self, text: str) -> bytes:
+        if self.ends is not None and not MARKED_STOP.search(text) and not BEYOND_LATIN.search(text):  # fewer different words: lowered, their stops apart
+            text = text.lower().replace(".", " . ").replace(",", " , ")
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         try:
             return b"".join([self.cache[w] for w in words])
@@ -94,28 +98,14 @@ class TextEncoder:
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache = {"": b""}
         cache = self.cache
+        new = [*words.difference(cache)]
         if self.ends is None:
-            rest = [w for w in words if w not in cache]
-        else:  # letters, then stops: the two never join, so the letters are asked for once
-            rest, stems = [], set()
-            split = []
-            for w in words:
-                if w not in cache:
-                    stem = w.rstrip(STOPS)
-                    if stem.isalpha() and "Σ" not in stem:  # a final sigma would depend on its place
-                        stop, stem = w[len(stem) :], stem.lower()
-                        split.append((w, stem, stop))
-                        if stem not in cache:
-                            stems.add(stem)
-                    else:
-                        rest.append(w)
-            todo = list(stems)
-            for at in range(0, len(todo), 512):
-                rest += self._learn_letters(todo[at : at + 512])
-            self._learn_each(rest + list({stop for _, _, stop in split if stop not in cache}))
-            for w, stem, stop in split:
-                cache[w] = cache[stem] + cache[stop]
+            self._learn_each(new)
             return
+        whole = [w for w in new if w.isalpha()]
+        rest = [w for w in new if not w.isalpha()]
+        for at in range(0, len(whole), 4096):
+            rest += self._learn_letters(whole[at : at + 4096])
         self._learn_each(rest)
 
     def _learn_each(self, words: list[str]) -> None:
@@ -135,13 +125,3 @@ class TextEncoder:
             self.cache[w] = raw[start:stop]
             start = stop
         return []
-
-    def warm(self, texts) -> None:
-        """Learn the new words of several texts in one call."""
-        if self.by_word:
-            new: set[str] = set()
-            for t in texts:
-                if t and len(t) <= CHUNK_CHARS:
-                    new.update(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-            if not new <= self.cache.keys():
-                self._learn(new)

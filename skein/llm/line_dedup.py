@@ -11,36 +11,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.plans.storage import settle
+
 #: Tokens that lead through the tree, runs of the rest, tokens from which a line takes part, and from which runs are generalised.
 DEPTH, RUNS, LEAST, GENERAL = 3, 4, 3, 8
 FIELD = "<*>"
 NO_ID = -(1 << 63)
 
 
-def _templates(lines: DataFrame) -> DataFrame:
-    """Rows (doc, pos, key, check) from rows (doc, pos, tokens): one for the line and one for each generalised run."""
-    tokens = F.col("tokens")
-    n = F.size(tokens)
-    rest = n - DEPTH
-    edges = [F.lit(DEPTH) + F.floor(F.greatest(rest, F.lit(0)) * i / RUNS).cast("int") for i in range(RUNS + 1)]
-    lines = lines.withColumns({"n": n, "lead": F.concat_ws(" ", F.slice(tokens, 1, DEPTH))} | {f"r{i}": F.concat_ws(" ", F.slice(tokens, edges[i] + 1, edges[i + 1] - edges[i])) for i in range(RUNS)})
-    hashed = lines.select("doc", "pos", "n", *(F.struct(F.xxhash64(c).alias("x"), F.hash(c).alias("y")).alias(c) for c in ("lead", *(f"r{i}" for i in range(RUNS)))))
-
-    def key(skip: int) -> Column:
-        parts = ["lead", *(f"r{i}" for i in range(RUNS) if i != skip)]
-        return F.struct(F.xxhash64(F.lit(skip), "n", *(f"{c}.x" for c in parts)).alias("key"), F.hash(F.lit(skip), "n", *(f"{c}.y" for c in parts)).alias("check"))
+def _once(value: Column) -> Column:
+    """A generator of one row: what stands above reads the value instead of computing it anew."""
+    return F.explode(F.array(value))
 
-    every = F.when(F.col("n") >= GENERAL, F.array(*(key(i) for i in range(-1, RUNS)))).otherwise(F.array(key(-1)))
-    return hashed.select("doc", "pos", F.explode(every).alias("t")).select("doc", "pos", "t.key", "t.check")
 
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """Rows (doc, pos, n, check, h0 .. h4) of the lines that take part: enough tokens, and half of them no variable field.
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc, pos, tokens) of the lines that take part: enough tokens, and half of them no variable field."""
-    line = F.regexp_replace("line", r"(?<![^ \t\r])[^ \t\r0-9]*+[0-9][^ \t\r]*+", FIELD)
+    h0 is a hash of the number of tokens and the leading ones, h1 to h4 of the runs behind them.
+    """
     lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc", "pos", F.split(F.btrim(line, F.lit(" \t\r")), "[ \t\r]+").alias("tokens"))
-    plain = F.size(F.array_remove("tokens", FIELD))
-    return lines.filter((F.size("tokens") >= LEAST) & (plain >= LEAST) & (plain * 2 >= F.size("tokens")))
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"(?<![^ \t\r])[^ \t\r0-9]*+[0-9][^ \t\r]*+", FIELD)).otherwise(F.col("line"))
+    lines = lines.select("doc", "pos", _once(F.split(F.btrim(masked, F.lit(" \t\r")), "[ \t\r]+")).alias("t"))
+    n = F.size("t")
+    plain = n - F.when(F.array_contains("t", FIELD), F.size(F.filter("t", lambda x: x == FIELD))).otherwise(0)
+    lines = lines.filter((n >= LEAST) & (plain >= LEAST) & (plain * 2 >= n))
+    rest = F.greatest(n - DEPTH, F.lit(0))
+    edges = [F.lit(DEPTH) + F.floor(rest * i / RUNS).cast("int") for i in range(RUNS + 1)]
+    runs = [F.xxhash64(F.slice("t", edges[i] + 1, edges[i + 1] - edges[i])).alias(f"h{i + 1}") for i in range(RUNS)]
+    return lines.select("doc", "pos", n.alias("n"), F.hash(F.slice("t", 1, DEPTH)).alias("check"), F.xxhash64(n, F.slice("t", 1, DEPTH)).alias("h0"), *runs)
+
+
+def templates(lines: DataFrame) -> DataFrame:
+    """Rows (doc, pos, key, check): one for the line and one for each generalised run."""
+
+    def key(skip: int) -> Column:
+        return F.xxhash64(F.lit(skip), "h0", *(f"h{i + 1}" for i in range(RUNS) if i != skip))
+
+    every = F.when(F.col("n") >= GENERAL, F.array(*(key(i) for i in range(-1, RUNS)))).otherwise(F.array(key(-1)))
+    return lines.select("doc", "pos", "check", F.explode(every).alias("key"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
@@ -51,18 +59,18 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     A document whose lines all go keeps its row with an empty text; a null text stays null with 0 lines.
     Other columns pass through, whatever their names. An empty table gives no rows.
     """
-    found = _templates(split_lines(docs.select("doc_id", "text")))
+    found = templates(settle(hashed_lines(docs.select("doc_id", "text")), "lines"))
     spread = found.groupBy("key", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
     gone = found.join(spread.select("key", "check", "first"), ["key", "check"]).filter("doc > first")
     gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("_sk_gone")).withColumnRenamed("doc", "_sk_doc")
     met = docs.withColumn("_sk_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone, "_sk_doc", "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_sk_gone"))
-    text = F.when(F.col("_sk_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    left = F.when(F.col("_sk_gone").isNull() | F.col("text").isNull(), count).otherwise(F.size(stay))
+    whole = F.col("_sk_gone").isNull() | F.col("text").isNull()
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
     own = [c for c in docs.columns if c != "text"]
-    return met.select(*(F.col(f"`{c}`") for c in own), text.alias("text"), count.cast("long").alias("lines"), (count - left).cast("long").alias("lines_dropped"))
+    return met.select(*(F.col(f"`{c}`") for c in own), text.alias("text"), count.cast("long").alias("lines"), F.when(whole, 0).otherwise(F.size("_sk_gone")).cast("long").alias("lines_dropped"))
 
 
 ORACLE = """

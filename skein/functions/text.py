@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with", "you")
@@ -23,6 +25,11 @@ def tokens(text: Column, stop_words: bool = False, shortest: int = 1, longest: i
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS)) if stop_words else found
 
 
+def once(value: Column) -> Column:
+    """A generator of one row: whatever reads the value above it doesn't compute it anew."""
+    return F.explode(F.array(value))
+
+
 def space_tokens(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), r"[ \t\r\n\f\x0B]+"), lambda t: t != "")
 
@@ -108,9 +115,6 @@ def stem(word: str, language: str = "en") -> str:
 
 def stem_all(language: str = "en"):
     """A pandas UDF over arrays of tokens: Spark SQL has no stemmer."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, StringType
-
     @F.pandas_udf(ArrayType(StringType()))
     def run(column: pd.Series) -> pd.Series:
         known: dict[str, str] = {}

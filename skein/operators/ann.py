@@ -10,10 +10,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from skein.functions.distance import distance
+from skein.plans.storage import settle
 
 #: Vectors that centres and codebooks are fitted on, at most.
 SAMPLE = 20_000
@@ -51,9 +54,6 @@ class InvertedLists:
     @staticmethod
     def build(df: DataFrame, lists: int = 64, border: float = 0.0, id_col: str = "id", vec_col: str = "embedding") -> "InvertedLists":
         centres = kmeans(sample_vectors(df, id_col, vec_col), lists)
-        from pyspark.sql.functions import pandas_udf
-        import pandas as pd
-
         @pandas_udf("array<int>")
         def assign(v: pd.Series) -> pd.Series:
             x = np.array(v.tolist(), float)
@@ -63,7 +63,7 @@ class InvertedLists:
             return pd.Series([t[:2].tolist() if border and len(t) > 1 and m[1] <= border * m[0] else t[:1].tolist() for t, m in zip(two, one)])
 
         rows = df.filter(F.col(vec_col).isNotNull()).withColumn("list_id", F.explode(assign(F.col(vec_col))))
-        return InvertedLists(centres, rows)
+        return InvertedLists(centres, settle(rows, "lists"))
 
     def save(self, path: str) -> None:
         """Partitioned by list, so that a probe reads only its folders."""
@@ -86,9 +86,6 @@ def pq_train(x: np.ndarray, subspaces: int = 8, codes: int = 64, seed: int = 42)
 
 
 def pq_encode(vec: Column, books: np.ndarray) -> Column:
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
-
     @pandas_udf("array<int>")
     def run(v: pd.Series) -> pd.Series:
         x = np.array(v.tolist(), float).reshape(len(v), books.shape[0], books.shape[2])
@@ -116,9 +113,6 @@ def pq_search(coded: DataFrame, books: np.ndarray, query: Sequence[float], k: in
 
 def lsh_keys(vec: Column, dim: int, tables: int = 8, bits: int = 12, seed: int = 42) -> Column:
     """An array of (table, bucket) structs: signs of random projections."""
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
-
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
 
     @pandas_udf("array<long>")

@@ -6,6 +6,7 @@ DataFrames; nothing is collected.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,8 +58,6 @@ def dfs(edges: DataFrame, start: int, max_depth: int) -> DataFrame:
     inside = edges.join(ball, F.col("src") == ball["id"], "left_semi").join(ball, F.col("dst") == ball["id"], "left_semi").select("src", "dst")
 
     def run(rows):
-        import pandas as pd
-
         out, into = {}, {}
         for a, b in sorted(zip(rows["src"].tolist(), rows["dst"].tolist())):
             out.setdefault(a, []).append(b)
@@ -74,7 +73,7 @@ def dfs(edges: DataFrame, start: int, max_depth: int) -> DataFrame:
                 stack += [(m, d + 1) for m in reversed(out.get(n, []) + into.get(n, [])) if m not in seen]
         return pd.DataFrame(order, columns=["id", "position", "depth"])
 
-    return inside.union(edges.sparkSession.createDataFrame([(start, start)], "src long, dst long")).groupBy(F.lit(1)).applyInPandas(run, "id long, position int, depth int")
+    return inside.union(edges.sparkSession.createDataFrame([(start, start)], "src long, dst long")).withColumn("_sk_all", F.lit(1)).groupBy("_sk_all").applyInPandas(run, "id long, position int, depth int")
 
 
 def shortest_paths(edges: DataFrame, start: int, weighted: bool = True, max_rounds: int = 1000) -> DataFrame:

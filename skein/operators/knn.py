@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -141,8 +142,6 @@ def mmr(df: DataFrame, query: Vector, k: int, oversample: int = 4, balance: floa
     near = topk(df, query, k * oversample, metric, None, id_col, vec_col).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vector"), "distance")
 
     def pick(rows):
-        import pandas as pd
-
         rows = rows.sort_values(["distance", "id"]).reset_index(drop=True)
         x = np.array(rows["vector"].tolist(), float)
         sim = similarity(metric, rows["distance"].to_numpy())
@@ -158,7 +157,7 @@ def mmr(df: DataFrame, query: Vector, k: int, oversample: int = 4, balance: floa
             worst = pair[at] if not rank else np.maximum(worst, pair[at])
         return pd.DataFrame(out, columns=["id", "rank", "score", "relevance"])
 
-    return near.groupBy(F.lit(1)).applyInPandas(pick, "id long, rank int, score double, relevance double")
+    return near.withColumn("_sk_all", F.lit(1)).groupBy("_sk_all").applyInPandas(pick, "id long, rank int, score double, relevance double")
 
 
 def similarity(metric: str, d):

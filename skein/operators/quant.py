@@ -40,9 +40,8 @@ def decode(codes: Column, codebook: DataFrame, bits: int = 8) -> Column:
 def binary(vector: Column) -> Column:
     """Sign bits as an array of longs of 64 bits, the first component in the lowest bit."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(vector) - 1), F.lit(64))
-    word = lambda at: F.aggregate(F.transform(F.slice(vector, at + 1, 64), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), i).cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)"), lambda s, z: (s + z).cast("decimal(20,0)"))
-    as_long = lambda d: F.when(d >= F.lit(2**63).cast("decimal(20,0)"), d - F.lit(2**64).cast("decimal(20,0)")).otherwise(d).cast("long")
-    return F.transform(starts, lambda at: as_long(word(at)))
+    bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    return F.transform(starts, lambda at: F.aggregate(F.transform(F.slice(vector, at + 1, 64), bit), F.lit(0).cast("long"), lambda s, z: s.bitwiseOR(z)))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import stem, stem_all, tokens
+from skein.functions.text import once, stem, stem_all, tokens
 
 K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf, doc_len): one row a document and term."""
-    each = docs.select(F.col(doc_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
+    each = docs.select(F.col(doc_col).alias("doc_id"), once(tokens(F.col(text_col))).alias("t"))
     return each.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("doc_id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "doc_len")
 
 
@@ -56,8 +56,8 @@ def bm25(docs: DataFrame, terms: Sequence[str], k: int | None = None, doc_col: s
     frequencies and lengths are one aggregate row, joined back by broadcast.
     """
     distinct = list(dict.fromkeys(terms))
-    each = docs.select(F.col(doc_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
-    counts = each.select("doc_id", F.size("t").alias("doc_len"), *(F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(distinct)))
+    each = docs.select(F.col(doc_col).alias("doc_id"), once(tokens(F.col(text_col))).alias("t"))
+    counts = each.select("doc_id", F.size("t").alias("doc_len"), *((F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(distinct)))
     stats = counts.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(distinct))))
     joined = counts.filter(" OR ".join(f"tf{i} > 0" for i in range(len(distinct))) or "false").crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
@@ -83,7 +83,7 @@ def phrase_search(docs: DataFrame, phrase: str, k: int | None = None, language:
         column = stem_all(language)(column)
     if not words:
         raise ValueError("the phrase has no terms")
-    each = docs.select(F.col(doc_col).alias("doc_id"), column.alias("t"))
+    each = docs.select(F.col(doc_col).alias("doc_id"), once(column).alias("t"))
     starts = F.filter(F.sequence(F.lit(0), F.size("t") - len(words)), lambda i: F.slice("t", i + 1, len(words)) == F.array(*map(F.lit, words)))
     hits = each.filter(F.arrays_overlap("t", F.array(F.lit(words[0])))).filter(F.size("t") >= len(words)).select("doc_id", starts.alias("positions")).filter(F.size("positions") > 0)
     if language:

@@ -35,11 +35,12 @@ def sink(df: DataFrame, path: str, checkpoint: str, every: str | None = None) ->
 
 def deduplicated(df: DataFrame, keys: list[str], late: str = "1 hour", ts: str = "ts") -> DataFrame:
     """First rows of their keys; state is kept for the lateness allowed."""
-    return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour", ts: str = "ts", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """(window_start, by.., n, total) over tumbling windows; the same code runs on a batch table."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     marked = events.withWatermark(ts, late) if events.isStreaming else events
     out = marked.groupBy(F.window(ts, width), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("window_start"), *by, "n", "total")

@@ -87,6 +87,37 @@ def batch_topk(df: DataFrame, queries: np.ndarray, query_ids: Sequence[int], k:
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def join_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", rows_block: int = 32_768, query_block: int = 2048) -> DataFrame:
+    """batch_topk for a query table of any size (same columns as df): blocks of queries meet blocks of rows, a task each.
+
+    A pair of blocks hands on k rows a query; nothing of either table is collected.
+    """
+    n, q = df.count(), queries.count()
+    rb, qb = max(1, -(-n // rows_block)), max(1, -(-q // query_block))
+    vector = F.col(vec_col).cast("array<double>")
+    salt = F.xxhash64(id_col)
+    a = df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.pmod(salt, F.lit(rb)).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"), F.lit(False).alias("asks"))
+    b = queries.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("r"), F.pmod(salt, F.lit(qb)).cast("int").alias("q"), F.lit(True).alias("asks"))
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        rows, asks = group[~group["asks"]].sort_values("id"), group[group["asks"]]
+        out = {"query_id": [], "id": [], "distance": []}
+        if len(rows) and len(asks):
+            x, ids = np.array(rows["vector"].tolist(), float), rows["id"].to_numpy()
+            for at in range(0, len(asks), 256):
+                part = asks.iloc[at : at + 256]
+                d = matrix(metric, np.array(part["vector"].tolist(), float), x)
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                out["query_id"] += np.repeat(part["id"].to_numpy(), order.shape[1]).tolist()
+                out["id"] += ids[order].ravel().tolist()
+                out["distance"] += np.take_along_axis(d, order, 1).ravel().tolist()
+        return pd.DataFrame(out)
+
+    near = a.unionByName(b).groupBy("r", "q").applyInPandas(best, "query_id long, id long, distance double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def multi_query_rrf(df: DataFrame, queries: np.ndarray, k: int, metric: str = "cosine", rrf_k: int = 60, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """Several queries' 2k nearest each, fused: (id, score, distance, hits)."""
     near = batch_topk(df, queries, range(len(queries)), 2 * k, metric, id_col, vec_col)

@@ -111,6 +111,66 @@ def pq_search(coded: DataFrame, books: np.ndarray, query: Sequence[float], k: in
     return near.select(F.col(id_col).alias("id"), distance(metric, F.col(vec_col), query).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+def sq8_search(rows: DataFrame, codebook: DataFrame, query: Sequence[float], k: int, rerank: int = 100, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """The `rerank` nearest by 8-bit codes (column codes), then the k nearest of them exactly."""
+    from skein.operators.quant import code_distance
+
+    near = rows.withColumn("_sk_sq", code_distance(F.col("codes"), list(query), codebook)).orderBy("_sk_sq", id_col).limit(max(k, rerank))
+    return near.select(F.col(id_col).alias("id"), distance("euclidean", F.col(vec_col), query).alias("distance")).orderBy("distance", "id").limit(k)
+
+
+def rotation(dim: int, seed: int = 42) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
+def rotated_codes(vec: Column, dim: int, bits: int = 4, seed: int = 42) -> Column:
+    """(norm, codes): a unit vector, rotated at random so that its components are alike, in `bits` bits each."""
+    turn, top = rotation(dim, seed), (1 << bits) - 1
+    span = 3.0 / np.sqrt(dim)
+
+    @pandas_udf("struct<norm:double,codes:array<int>>")
+    def run(v: pd.Series) -> pd.DataFrame:
+        x = np.array(v.tolist(), float).reshape(len(v), dim)
+        norm = np.sqrt((x * x).sum(1))
+        y = x / np.where(norm == 0, 1, norm)[:, None] @ turn
+        codes = np.clip(np.floor((y + span) / (2 * span) * top + 0.5), 0, top).astype(int)
+        return pd.DataFrame({"norm": norm, "codes": codes.tolist()})
+
+    return run(vec)
+
+
+def rotated_search(coded: DataFrame, query: Sequence[float], k: int, bits: int = 4, rerank: int = 100, seed: int = 42, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """Greatest dot product with the rotated codes (column code), then exact cosine."""
+    q = np.asarray(query, float) @ rotation(len(query), seed)
+    span, top = 3.0 / np.sqrt(len(query)), (1 << bits) - 1
+    approx = -distance("dot", F.transform("code.codes", lambda c: c * (2 * span / top) - span), q.tolist())
+    near = coded.withColumn("_sk_dot", approx).orderBy(F.desc("_sk_dot"), id_col).limit(max(k, rerank))
+    return near.select(F.col(id_col).alias("id"), distance("cosine", F.col(vec_col), query).alias("distance")).orderBy("distance", "id").limit(k)
+
+
+def token_set_vectors(sets: DataFrame, dim: int, projections: int = 10, reduced: int = 16, seed: int = 42, col: str = "tokens") -> Column:
+    """One unit vector a set of token vectors: for each random plane, the mean of a random reduction of the tokens on either side."""
+    rng = np.random.default_rng(seed)
+    planes, mats = rng.standard_normal((projections, dim)), rng.standard_normal((projections, dim, reduced)) / np.sqrt(reduced)
+
+    @pandas_udf("array<double>")
+    def run(v: pd.Series) -> pd.Series:
+        def one(tokens):
+            x = np.array([list(t) for t in tokens], float).reshape(-1, dim)
+            out = []
+            for p, m in zip(planes, mats):
+                side, y = x @ p > 0, x @ m
+                out += [y[s].mean(0) if s.any() else np.zeros(reduced) for s in (side, ~side)]
+            flat = np.concatenate(out)
+            n = np.sqrt((flat * flat).sum())
+            return (flat / n if n else flat).tolist()
+
+        return v.map(one)
+
+    return run(F.col(col))
+
+
 def lsh_keys(vec: Column, dim: int, tables: int = 8, bits: int = 12, seed: int = 42) -> Column:
     """An array of (table, bucket) structs: signs of random projections."""
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))

@@ -267,6 +267,24 @@ def kg_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return a.crossJoin(relations.agg(F.count(F.lit(1)).alias("relations"), F.countDistinct("p").alias("predicates")))  # one row each
 
 
+def context_search(entities: DataFrame, relations: DataFrame, query: list[float], least: float = 0.7, **scope: str) -> DataFrame:
+    """(id, p, o, score): outgoing relations of the entities of a scope (user, agent, run, ...) with cosine at least `least`."""
+    from skein.functions.distance import distance
+
+    hit = entities
+    for name, value in scope.items():
+        hit = hit.filter(F.col(name) == value)
+    hit = hit.select("id", (1 - distance("cosine", F.col("embedding"), query)).alias("score")).filter(F.col("score") >= least)
+    return hit.join(relations, hit["id"] == relations["s"], "left").select("id", "p", "o", "score")
+
+
+def expand(hits: DataFrame, links: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, s, p, o): distinct triples of the entities (entity) that links (id, entity) ties to hits (id)."""
+    tied = hits.select("id").join(links, "id").select("id", "entity").distinct()
+    ends = relations.select(F.explode(F.array_distinct(F.array("s", "o"))).alias("entity"), "s", "p", "o")
+    return tied.join(ends, "entity").select("id", "s", "p", "o").distinct()
+
+
 # Temporal edges (s, p, o, valid_from, valid_to), valid_to null while they hold.
 
 

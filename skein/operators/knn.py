@@ -118,6 +118,35 @@ def join_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def join_within(df: DataFrame, radius: float, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
+    """(a, b, distance), a < b, of all pairs at most `radius` apart, exactly: blocks of rows meet, a task each pair.
+
+    The work grows with the square of the rows, as an exact join must without a structure to prune by; a task
+    holds two blocks and hands on only pairs within the radius.
+    """
+    n = max(1, -(-df.count() // block))
+    rows = df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("own"))
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    spread = rows.withColumn("other", F.explode(every)).select("id", "vector", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def near(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["own"] == group["x"]], group[group["own"] == group["y"]]
+        out = {"a": [], "b": [], "distance": []}
+        if len(left) and len(right):
+            v, w, ids, jds = np.array(left["vector"].tolist(), float), np.array(right["vector"].tolist(), float), left["id"].to_numpy(), right["id"].to_numpy()
+            for at in range(0, len(v), 256):
+                d = matrix(metric, v[at : at + 256], w)
+                i, j = np.nonzero(d <= radius)
+                a, b = ids[at + i], jds[j]
+                keep = (a < b) if group["x"].iloc[0] == group["y"].iloc[0] else (a != b)
+                out["a"] += np.minimum(a, b)[keep].tolist()
+                out["b"] += np.maximum(a, b)[keep].tolist()
+                out["distance"] += d[i, j][keep].tolist()
+        return pd.DataFrame(out)
+
+    return spread.groupBy("x", "y").applyInPandas(near, "a long, b long, distance double")
+
+
 def multi_query_rrf(df: DataFrame, queries: np.ndarray, k: int, metric: str = "cosine", rrf_k: int = 60, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """Several queries' 2k nearest each, fused: (id, score, distance, hits)."""
     near = batch_topk(df, queries, range(len(queries)), 2 * k, metric, id_col, vec_col)

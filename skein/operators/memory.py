@@ -79,6 +79,23 @@ def content_score(text: Column) -> Column:
     return clamp((0.30 * informativeness(text) + 0.25 * specificity(text) + 0.25 * salience(text) + 0.20 * entity_density(text)) * factor)
 
 
+def extracted_score(text: Column, floor: float = 0.4) -> Column:
+    """For short extracted facts: a floor, and the rest by content without a penalty for length."""
+    n = F.size(words(text))
+    concrete = F.when(n > 0, clamp((capitalized(text) + _count(text, "[0-9]+")) / n * 0.3, 0, 0.3)).otherwise(0.0)
+    base = 0.20 * informativeness(text) + 0.35 * specificity(text) + 0.15 * concrete + 0.30 * entity_density(text)
+    return clamp(floor + (1 - floor) * base, floor, 1.0)
+
+
+def similar_pairs(memories: DataFrame, threshold: float, k: int = 10) -> DataFrame:
+    """(a, b, similarity): distinct unordered pairs among each memory's k nearest whose 1 - d / 2 is at least the threshold."""
+    from skein.operators.knn import join_topk
+
+    near = join_topk(memories, memories, k + 1).filter("query_id <> id")
+    pair = near.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), (1 - F.col("distance") / 2).alias("similarity"))
+    return pair.filter(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
 def temporal_decay(age_seconds: Column, half_life: float = HALF_LIFE_HOURS, floor: float = 0.1, boost_hours: float = 24.0, boost: float = 1.3) -> Column:
     """exp(-age / stability), at least `floor`; the first hours are raised, up to 1; no age is 1."""
     hours = age_seconds / 3600.0

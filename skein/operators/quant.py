@@ -37,6 +37,19 @@ def decode(codes: Column, codebook: DataFrame, bits: int = 8) -> Column:
     return F.zip_with(F.zip_with(codes, _literal(lo), lambda c, a: F.struct(c.alias("c"), a.alias("a"))), _literal(hi), lambda s, b: s["a"] + (b - s["a"]) * s["c"] / top)
 
 
+def code_distance(codes: Column, query: list[float], codebook: DataFrame, bits: int = 8) -> Column:
+    """Euclidean distance of a query to decoded codes."""
+    from skein.functions.distance import distance
+
+    return distance("euclidean", decode(codes, codebook, bits), query)
+
+
+def code_code_distance(a: Column, b: Column, codebook: DataFrame, bits: int = 8) -> Column:
+    from skein.functions.distance import distance
+
+    return distance("euclidean", decode(a, codebook, bits), decode(b, codebook, bits))
+
+
 def binary(vector: Column) -> Column:
     """Sign bits as an array of longs of 64 bits, the first component in the lowest bit."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(vector) - 1), F.lit(64))

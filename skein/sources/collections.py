@@ -89,6 +89,40 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
     return files.join(first, "path").select("sha256", "length", "content", "path")
 
 
+def shard(key: Column, shards: int) -> Column:
+    """The shard of a key by hash: where a repartition by the key would put it."""
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+
+
+def ring_shard(key: Column, shards: int, points: int = 64) -> Column:
+    """The shard by consistent hashing: adding one moves about 1 / shards of the keys."""
+    import xxhash
+
+    ring = sorted((xxhash.xxh64_intdigest(f"{s}:{p}") >> 1, s) for s in range(shards) for p in range(points))
+    at = F.pmod(F.xxhash64(key), F.lit((1 << 63) - 1))
+    after = F.filter(F.array(*(F.struct(F.lit(h).alias("h"), F.lit(s).alias("s")) for h, s in ring)), lambda x: x["h"] >= at)
+    return F.coalesce(F.get(after, F.lit(0))["s"], F.lit(ring[0][1]))
+
+
+class Aliases:
+    """Names of tables that can be moved and swapped."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, str] = {}
+
+    def set(self, alias: str, table: str) -> None:
+        self.names[alias] = table
+
+    def resolve(self, name: str) -> str:
+        return self.names.get(name, name)
+
+    def swap(self, a: str, b: str) -> None:
+        self.names[a], self.names[b] = self.names[b], self.names[a]
+
+    def remove(self, alias: str) -> bool:
+        return self.names.pop(alias, None) is not None
+
+
 def validate(df: DataFrame, required: list[str], types: Mapping[str, str], column: str = "metadata") -> DataFrame:
     """(id, key, problem) of required keys that lack and values that don't read as their type."""
     checks = [F.when(F.col(column)[k].isNull(), F.struct(F.lit(k).alias("key"), F.lit("missing").alias("problem"))) for k in required]

@@ -19,7 +19,7 @@ def test_same_rows_as_sql(name, spark, sf, con):
     assert differences(run(spark, sf), con, sql) == ""
 
 
-@pytest.mark.parametrize("name", ["ivf_recall", "ivf_border_recall", "pq_recall", "lsh_recall"])
+@pytest.mark.parametrize("name", ["ivf_recall", "ivf_border_recall", "pq_recall", "lsh_recall", "sq8_recall", "rotated_recall"])
 def test_recall(name, spark, sf):
     assert CATALOG[name][0](spark, sf).first()["recall"] >= 0.9
 

@@ -121,41 +121,37 @@ def links(prints: DataFrame, names: list[str], max_bits: int, segments: int, den
     With one fingerprint and 2 * segments > max_bits no pair is lost. With several, a pair is found when in
     one of their segments the two differ by at most one bit. Fingerprint rows should be distinct.
     """
-    out = []
     parts = cuts(64, segments)
-    for f in names:
-        rows = prints.select("id", f, F.explode(_variants(F.col(f), parts)).alias("key"))
-        shared = settle(rows.repartition("key").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1"), "signatures")
-
-        def candidates(rows: DataFrame, *on: str) -> DataFrame:
-            met = rows.alias("a").join(rows.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on] + [F.col("a.id") > F.col("b.id")])
-            apart = F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}")))
-            return met.filter(_once(f, "a.key") & (apart <= max_bits)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
-
-        exact = len(names) == 1 and 2 * segments > max_bits
-        thin = shared.filter(F.col("n") <= dense) if exact else shared
-        found = candidates(thin.select("id", f, "key"), "key")
-        thick = shared.filter(F.col("n") > dense)
-        if exact and not thick.isEmpty():
-            # The bits outside the segment, side by side, are cut in the same way: they too differ by at
-            # most max_bits, so the pair shares a second signature, and the join takes both.
-            finer = None
-            for shift, w in parts:
-                low = f"({f} & {(1 << shift) - 1}L)"
-                rest = low if shift + w == 64 else f"({low} | shiftleft(shiftrightunsigned({f}, {shift + w}), {shift}))"
-                own = thick.filter(F.expr(f"(key >> 40) = {shift}")).select("id", f, "key", F.explode(_variants(F.expr(rest), cuts(64 - w, segments))).alias("key2"))
-                finer = own if finer is None else finer.union(own)
-            found = found.union(candidates(finer, "key", "key2"))
-        found = found.distinct()
-        if len(names) > 1:
-            a, b = prints.alias("a"), prints.alias("b")
-            total = sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names[1:]), F.bit_count(F.col(f"a.{names[0]}").bitwiseXOR(F.col(f"b.{names[0]}"))))
-            found = found.join(a, F.col("src") == F.col("a.id")).join(b, F.col("dst") == F.col("b.id")).filter(total <= max_bits).select("src", "dst")
-        out.append(settle(found, "links"))
-        drop(shared)
-    edges = out[0]
-    for more in out[1:]:
-        edges = edges.union(more)
+
+    def pairs(rows: DataFrame, f: str, *on: str) -> DataFrame:
+        met = rows.alias("a").join(rows.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on] + [F.col("a.id") > F.col("b.id")])
+        apart = sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names), F.lit(0))
+        return met.filter(_once(f, "a.key") & (apart <= max_bits)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+
+    if len(names) > 1 or 2 * segments <= max_bits:
+        # Rows carry all fingerprints, so the join itself decides, over one shuffle of the signatures.
+        found = [settle(pairs(prints.select("id", *names, F.explode(_variants(F.col(f), parts)).alias("key")), f, "key"), "links") for f in names]
+        edges = found[0]
+        for more in found[1:]:
+            edges = edges.union(more)
+        return edges
+    f = names[0]
+    rows = prints.select("id", f, F.explode(_variants(F.col(f), parts)).alias("key"))
+    shared = settle(rows.repartition("key").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1"), "signatures")
+    found = pairs(shared.filter(F.col("n") <= dense).select("id", f, "key"), f, "key")
+    thick = shared.filter(F.col("n") > dense)
+    if not thick.isEmpty():
+        # The bits outside the segment, side by side, are cut in the same way: they too differ by at
+        # most max_bits, so the pair shares a second signature, and the join takes both.
+        finer = None
+        for shift, w in parts:
+            low = f"({f} & {(1 << shift) - 1}L)"
+            rest = low if shift + w == 64 else f"({low} | shiftleft(shiftrightunsigned({f}, {shift + w}), {shift}))"
+            own = thick.filter(F.expr(f"(key >> 40) = {shift}")).select("id", f, "key", F.explode(_variants(F.expr(rest), cuts(64 - w, segments))).alias("key2"))
+            finer = own if finer is None else finer.union(own)
+        found = found.union(pairs(finer, f, "key", "key2"))
+    edges = settle(found.distinct(), "links")
+    drop(shared)
     return edges
 
 

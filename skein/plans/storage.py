@@ -16,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only on a single machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(named.rstrip("/"))
+        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return re.sub(r"^file:/(?!/)", "file:///", whole)  # a scheme, so that Spark and Python workers mean the same folder
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _local_folder:

@@ -8,7 +8,7 @@ from pyarrow import fs
 
 
 def resolve(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if "://" in uri else "file://" + os.path.abspath(uri))
 
 
 def replace(uri: str, write) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skein.operators import graph as g
 from skein.operators import knn
 from skein.queries.common import EDGES_SQL, ENTITIES_SQL, NODES_SQL, RELATIONS_SQL, entities, graph, relations, table, vectors
-from skein.queries.search import Q0, dist, q0
+from skein.queries.search import Q0, dist, hits, q0
 
 START = 1_000_001
 
@@ -154,11 +154,17 @@ def _bfs(edges: str, start: int, depth: int) -> str:
     return f"""WITH RECURSIVE w(id, depth) AS (SELECT CAST({start} AS BIGINT), 0 UNION SELECT DISTINCT e.dst, w.depth + 1 FROM w JOIN {edges} e ON e.src = w.id WHERE w.depth < {depth}) SELECT id, CAST(min(depth) AS INT) AS depth FROM w GROUP BY id"""
 
 
-PAGERANK = f"""WITH RECURSIVE n AS (SELECT count(*)::DOUBLE AS n FROM {N_}), o AS (SELECT src, count(*)::DOUBLE AS c FROM {G_} GROUP BY 1), l AS (SELECT g.src, g.dst, o.c FROM {G_} g JOIN o USING (src)),
-    r(i, id, rank, sink) AS (SELECT 0, x.id, 1 / n.n, o.c IS NULL FROM {N_} x CROSS JOIN n LEFT JOIN o ON o.src = x.id
-    UNION ALL SELECT i + 1, id, 0.15 / (SELECT n FROM n) + 0.85 * lost / (SELECT n FROM n) + 0.85 * coalesce(given, 0), sink FROM
-    (SELECT r.i, r.id, r.sink, (SELECT coalesce(sum(rank), 0) FROM r WHERE sink) AS lost, (SELECT sum(b.rank / l.c) FROM l JOIN r b ON b.id = l.src WHERE l.dst = r.id) AS given FROM r WHERE i < 10))
-    SELECT id, round(rank, 9) AS rank FROM r WHERE i = 10"""
+def _pagerank(rounds: int) -> str:
+    """Unrolled rounds."""
+    steps = [f"n AS MATERIALIZED (SELECT id, c FROM {N_} x LEFT JOIN (SELECT src, count(*)::DOUBLE AS c FROM {G_} GROUP BY 1) o ON o.src = x.id), k AS MATERIALIZED (SELECT count(*)::DOUBLE AS k FROM n), g AS MATERIALIZED ({EDGES_SQL}), r0 AS MATERIALIZED (SELECT id, c, 1 / k AS rank FROM n, k)"]
+    for i in range(rounds):
+        steps.append(
+            f"""r{i + 1} AS MATERIALIZED (SELECT n.id, n.c, 0.15::DOUBLE / k + 0.85::DOUBLE * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE c IS NULL) / k + 0.85::DOUBLE * coalesce(s, 0) AS rank
+            FROM k, n LEFT JOIN (SELECT dst, sum(rank / c) AS s FROM g JOIN r{i} ON g.src = r{i}.id GROUP BY 1) t ON t.dst = n.id)"""
+        )
+    return f"WITH {', '.join(steps)} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
 QUERIES = {
     "nodes_by_label": (by_label, f"SELECT id FROM {N_} WHERE label = 'supplier'"),
     "degrees": (degrees, f"SELECT n.id, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree, CAST(coalesce(i, 0) + coalesce(o, 0) AS BIGINT) AS degree FROM {N_} n LEFT JOIN (SELECT dst, count(*) AS i FROM {G_} GROUP BY 1) ON dst = n.id LEFT JOIN (SELECT src, count(*) AS o FROM {G_} GROUP BY 1) ON src = n.id"),
@@ -167,7 +173,7 @@ QUERIES = {
     "dfs_preorder": (dfs, None),
     "connected_components": (components, f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {G_} WHERE dst % 11 < 3), b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
         w(id, c) AS (SELECT id, id FROM {N_} UNION SELECT b.dst, w.c FROM w JOIN b ON b.src = w.id WHERE w.c < b.dst) SELECT id, min(c) AS component FROM w GROUP BY id"""),
-    "pagerank": (pagerank, None),
+    "pagerank": (pagerank, _pagerank(10)),
     "clustering_coefficient": (clustering, f"""SELECT CAST(n.n_nationkey AS BIGINT) AS id, round(CASE WHEN k >= 2 THEN 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 9) AS coefficient FROM nation n
         LEFT JOIN (SELECT x, count(*) AS k FROM (SELECT a AS x FROM {RING} UNION ALL SELECT b FROM {RING}) GROUP BY 1) d ON d.x = n.n_nationkey
         LEFT JOIN (SELECT v, count(*) AS t FROM (SELECT unnest([p.a, p.b, q.b]) AS v FROM {RING} p JOIN {RING} q ON p.b = q.a JOIN {RING} r ON r.a = p.a AND r.b = q.b) GROUP BY 1) z ON z.v = n.n_nationkey"""),
@@ -188,7 +194,8 @@ QUERIES = {
     "predict_links": (predict, f"""WITH r AS (SELECT vec_id AS s, (vec_id + 1) % 500 AS o FROM embeddings), b AS (SELECT DISTINCT s AS src, o AS dst FROM r UNION SELECT o, s FROM r), m AS (SELECT dst FROM b WHERE src = 0),
         x AS (SELECT vec_id, 1 - {dist('cosine')} AS c, (SELECT count(*) FROM b WHERE b.src = vec_id AND b.dst IN (SELECT dst FROM m)) AS k FROM embeddings WHERE vec_id <> 0 AND vec_id NOT IN (SELECT dst FROM m))
         SELECT vec_id AS id, round(least(1.0, c + least(0.2, 0.1 * k)), 6) AS score FROM x WHERE c >= 0.1 ORDER BY least(1.0, c + least(0.2, 0.1 * k)) DESC, vec_id LIMIT 10"""),
-    "graph_expansion": (expansion, None),
+    "graph_expansion": (expansion, f"""WITH h AS ({hits(Q0, 20)}), r AS (SELECT vec_id AS s, (vec_id + 1) % 500 AS o FROM embeddings), k AS (SELECT x, count(*) AS n FROM (SELECT s AS x FROM r UNION ALL SELECT o FROM r) GROUP BY 1),
+        m AS (SELECT h.id, 0.7::DOUBLE * (1 - d / (SELECT max(d) FROM h)) + 0.3::DOUBLE * least(coalesce(n, 0) / 10.0::DOUBLE, 1.0) AS s FROM h LEFT JOIN k ON k.x = h.id) SELECT id, round(s, 6) AS score FROM m ORDER BY s DESC, id LIMIT 10"""),
     "edges_at_time": (state_at, f"SELECT s, o FROM ({TEMPORAL}) WHERE f <= TIMESTAMP '1996-06-01' AND (t IS NULL OR t > TIMESTAMP '1996-06-01')"),
     "edges_between": (valid_between, f"SELECT s, o FROM ({TEMPORAL}) WHERE f < TIMESTAMP '1996-07-01' AND (t IS NULL OR t > TIMESTAMP '1996-06-01')"),
     "edge_changes": (edge_changes, f"SELECT s, o, lag(o) OVER (PARTITION BY s ORDER BY f, o) AS previous FROM ({TEMPORAL})"),

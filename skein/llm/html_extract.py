@@ -31,6 +31,8 @@ ASIDE_WORDS = frozenset(
     "comment comments commentlist reply replies disqus respond discussion reviews sidebar side rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar "
     "share sharing social related recommended recommendations recirc trending popular tags taglist tagcloud byline meta copyright legal disclaimer skip search hidden".split()
 )
+#: Parts of longer names that say the same wherever they stand in one.
+ASIDE_STEMS = re.compile(r"^(?:user|reader|blog|post|fb)?comments?(?:list|section|area|box|form|thread)?$|^advert|^sponsor|^cookie|newsletter|breadcrumb|sidebar|^footer|footer$|^navbar|^navigation|^pagination|^popup|^subscri")
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN_TAGS = frozenset(("article", "main"))
 GAP = 0.1
@@ -68,8 +70,12 @@ def _is_aside(tag: str, attributes: str) -> bool:
         return True
     if not attributes.strip():
         return False
+    if tag in ("html", "body", "main"):  # their classes tell what the page has, not what they are
+        return False
     words, role = _names(attributes)
-    return bool(words & ASIDE_WORDS) or role in ASIDE_ROLES
+    if words & {"no", "has", "with", "without"}:
+        return role in ASIDE_ROLES
+    return bool(words & ASIDE_WORDS) or role in ASIDE_ROLES or any(ASIDE_STEMS.search(w) for w in words)
 
 
 def scan(page: str) -> list[tuple[str, str, str]]:

@@ -84,7 +84,7 @@ class TextEncoder:
         return self._words(text)
 
     def _words(self, text: str) -> bytes:
-        if self.ends is not None and not MARKED_STOP.search(text) and not BEYOND_LATIN.search(text):  # fewer different words: lowered, their stops apart
+        if self.ends is not None and (text.isascii() or not BEYOND_LATIN.search(text)) and not MARKED_STOP.search(text):  # fewer different words: lowered, their stops apart
             text = text.lower().replace(".", " . ").replace(",", " , ")
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         try:

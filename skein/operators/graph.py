@@ -243,7 +243,7 @@ def merge_entities(entities: DataFrame, relations: DataFrame, keep: int, gone: i
     return entities.filter(F.col("id") != gone), relations.select(turn("s"), "p", turn("o"), "weight").distinct()
 
 
-def spread(relations: DataFrame, seeds: list[int], depth: int, decay: float = 0.7, floor: float = 0.05, causal: tuple[str, ...] = ("causes",), boost: float = 1.0) -> DataFrame:
+def spread(relations: DataFrame, seeds: list[int], depth: int, decay: float = 0.7, floor: float = 0.05, causal: tuple[str, ...] = ("enables", "causes", "prevents", "caused_by"), boost: float = 1.0) -> DataFrame:
     """(id, activation): seeds at 1 pass decay * weight (* boost over causal predicates) on both ways; the most a node gets counts."""
     w = F.col("weight").cast("double") * F.when(F.col("p").isin(*causal), F.lit(boost)).otherwise(1.0)
     steps = relations.select(F.col("s").alias("src"), F.col("o").alias("dst"), w.alias("w"))

@@ -131,7 +131,7 @@ def importance(content: Column, temporal: Column, access: Column, salient: Colum
     return clamp(score)
 
 
-def retention(strength: Column, elapsed: Column, accesses: Column, decay: float = 0.1, weight: float = 0.5) -> Column:
+def retention(strength: Column, elapsed: Column, accesses: Column, decay: float = 0.01, weight: float = 0.1) -> Column:
     """strength * exp(-decay * elapsed) + weight * sum of 1 / (time since each access); accesses is an array of positive times."""
     return strength * F.exp(-decay * elapsed) + weight * F.aggregate(F.filter(F.coalesce(accesses, F.array().cast("array<double>")), lambda t: t > 0), F.lit(0.0), lambda s, t: s + 1 / t)
 
@@ -145,7 +145,7 @@ def detect_type(text: Column) -> Column:
             c = c | F.contains(low, F.lit(p))
         return c
 
-    return F.when(has("prefer", "like", "favorite", "favourite", "want"), "preference").when(has("friend", "colleague", "family", "knows", "works with"), "relationship").when(has("happened", "event", "occurred", "meeting"), "event").otherwise("fact")
+    return F.when(has("prefer", "like", "favorite"), "preference").when(has("know", "friend", "colleague", "relationship"), "relationship").when(has("happened", "event", "occurred", "meeting"), "event").otherwise("fact")
 
 
 def candidates(texts: DataFrame, threshold: float, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -168,13 +168,11 @@ def merge_contents(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", F.concat_ws(". ", "ca", "cb").alias("content"))
 
 
-RECIPROCAL = {"supports": "supported_by", "contradicts": "contradicts", "extends": "extended_by", "causal": "caused_by", "similar": "similar", "temporal": "temporal"}
+KINDS = ("similar", "supports", "contradicts", "extends", "causal", "example", "prerequisite", "temporal")
 
 
 def links_both_ways(links: DataFrame, factor: float = 0.9) -> DataFrame:
-    """Links (src, dst, kind, strength) and their reciprocals, weaker, within [0, 1]."""
-    back = F.lit(None).cast("string")
-    for kind, other in RECIPROCAL.items():
-        back = F.when(F.col("kind") == kind, other).otherwise(back)
-    mirrored = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.coalesce(back, "kind").alias("kind"), clamp(F.col("strength") * factor).alias("strength"))
+    """Links (src, dst, kind, strength) and their mirror images of the same kind, weaker, within [0, 1]; an unknown kind mirrors as similar."""
+    back = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("similar")
+    mirrored = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), back.alias("kind"), clamp(F.col("strength") * factor).alias("strength"))
     return links.select("src", "dst", "kind", clamp(F.col("strength")).alias("strength")).union(mirrored)

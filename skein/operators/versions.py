@@ -96,9 +96,22 @@ def quota_violations(usage: DataFrame, limits: Mapping[str, int], default: int)
     return usage.groupBy("tenant").agg(F.count(F.lit(1)).alias("used")).withColumn("allowed", allowed).filter("used > allowed")
 
 
-def tier(vectors: Column, inactive: Column, shared_limit: int, dedicated_limit: int) -> Column:
-    """shared, dedicated or premium by size; a tenant under half of a limit that is inactive steps down."""
-    return F.when(vectors > dedicated_limit, "premium").when((vectors > shared_limit) & ~(inactive & (vectors < dedicated_limit / 2)), "dedicated").otherwise("shared")
+def next_tier(current: Column, vectors: Column, memory: Column, idle: Column, limits: Mapping[str, tuple[int, int]]) -> Column:
+    """One step: shared or dedicated tenants over their (vectors, memory) limit go up; idle ones under half of the limit below go down."""
+
+    def over(name: str) -> Column:
+        return (vectors > limits[name][0]) | (memory > limits[name][1])
+
+    def under(name: str) -> Column:
+        return idle & (vectors < limits[name][0] * 0.5) & (memory < limits[name][1] * 0.5)
+
+    return (
+        F.when((current == "shared") & over("shared"), "dedicated")
+        .when((current == "dedicated") & over("dedicated"), "premium")
+        .when((current == "dedicated") & under("shared"), "shared")
+        .when((current == "premium") & under("dedicated"), "dedicated")
+        .otherwise(current)
+    )
 
 
 def consistent(level: str, lag_ms: Column, position: Column, max_lag_ms: int = 0, token: int = 0) -> Column:

@@ -147,8 +147,8 @@ QUERIES = {
         FROM (SELECT *, greatest(exp(-age / (168 / 0.693147::DOUBLE)), 0.1) AS d FROM (SELECT user_id AS id, count(*)::DOUBLE AS n, avg(least(1.0, abs(value) / 100)) AS relevance, (floor(epoch(max(ts))) - floor(epoch(min(ts))))::DOUBLE / 3600 AS span, (1706745600 - floor(epoch(max(ts))))::DOUBLE / 3600 AS age FROM events GROUP BY 1))"""),
     "importance": (importance, """SELECT event_id, round((0.3::DOUBLE * 0.4 + CASE WHEN event_id % 2 = 0 THEN 0.25::DOUBLE * 0.9 ELSE 0 END + 0.2::DOUBLE * 0.2 + 0.15::DOUBLE * 0.5 + 0.1::DOUBLE * (0.6 * (1 - exp(-0.3 * (event_id % 4 + 1)))))
         / (0.3::DOUBLE + CASE WHEN event_id % 2 = 0 THEN 0.25::DOUBLE ELSE 0 END + 0.2 + 0.15 + 0.1), 9) AS score FROM events"""),
-    "retention": (retention, "SELECT user_id AS id, round(exp(-0.1 * max(t)) + 0.5 * sum(1 / t), 6) AS retention FROM (SELECT user_id, (1706745600 - floor(epoch(ts)))::DOUBLE / 86400 AS t FROM events) GROUP BY 1"),
+    "retention": (retention, "SELECT user_id AS id, round(exp(-0.01 * max(t)) + 0.1 * sum(1 / t), 6) AS retention FROM (SELECT user_id, (1706745600 - floor(epoch(ts)))::DOUBLE / 86400 AS t FROM events) GROUP BY 1"),
     "memory_search": (memory_search, f"SELECT id, round(s, 6) AS score FROM (SELECT id, 0.6 * greatest(0, 1 - d / 2) + 0.4 * label / 10 AS s FROM ({hits(Q0, 30)}) JOIN embeddings ON id = vec_id) ORDER BY s DESC, id LIMIT 10"),
     "memory_candidates": (memory_candidates, None),
-    "memory_links": (memory_links, "SELECT o_custkey AS src, o_orderkey AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 'supports' ELSE 'similar' END AS kind, 0.8::DOUBLE AS strength FROM orders UNION ALL SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'supported_by' ELSE 'similar' END, 0.72::DOUBLE FROM orders"),
+    "memory_links": (memory_links, "SELECT o_custkey AS src, o_orderkey AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 'supports' ELSE 'similar' END AS kind, 0.8::DOUBLE AS strength FROM orders UNION ALL SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'supports' ELSE 'similar' END, 0.72::DOUBLE FROM orders"),
 }

@@ -82,7 +82,8 @@ def quotas(spark, d):
 
 def tenant_tiers(spark, d):
     u = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return u.select("id", v.tier(F.col("n"), F.col("id") % 2 == 0, 8, 20).alias("tier"))
+    now = F.element_at(F.array(*map(F.lit, ("shared", "dedicated", "premium"))), (F.col("id") % 3 + 1).cast("int"))
+    return u.select("id", v.next_tier(now, F.col("n"), F.col("n") * 10, F.col("id") % 2 == 0, {"shared": (12, 1000), "dedicated": (20, 190)}).alias("tier"))
 
 
 def replicas(spark, d):
@@ -138,7 +139,8 @@ QUERIES = {
     "mvcc_visible": (mvcc_visible, "SELECT event_id FROM (SELECT event_id, event_id % 50 AS b, CASE WHEN event_id % 4 = 0 THEN event_id % 60 END AS g FROM events) WHERE (b = 30 OR (b < 30 AND b % 9 <> 0)) AND NOT (g IS NOT NULL AND g <= 30)"),
     "compare_and_set": (compare_and_set, "SELECT p_partkey AS id, p_size + CASE WHEN p_partkey % 3 = 0 AND p_size = 10 THEN 1 ELSE 0 END AS version, CASE WHEN p_partkey % 3 = 0 AND p_size = 10 THEN 1.0 ELSE p_retailprice END AS data, CASE WHEN p_partkey % 3 <> 0 THEN 'untouched' WHEN p_size = 10 THEN 'updated' ELSE 'conflict' END AS status FROM part"),
     "quota_violations": (quotas, "SELECT * FROM (SELECT o_orderpriority AS tenant, count(*) AS used, CASE WHEN o_orderpriority = '1-URGENT' THEN 10000000 ELSE 100 END AS allowed FROM orders GROUP BY 1) WHERE used > allowed"),
-    "tenant_tiers": (tenant_tiers, "SELECT id, CASE WHEN n > 20 THEN 'premium' WHEN n > 8 AND NOT (id % 2 = 0 AND n < 10) THEN 'dedicated' ELSE 'shared' END AS tier FROM (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1)"),
+    "tenant_tiers": (tenant_tiers, """SELECT id, CASE WHEN t = 'shared' AND n > 12 THEN 'dedicated' WHEN t = 'dedicated' AND (n > 20 OR n * 10 > 190) THEN 'premium' WHEN t = 'dedicated' AND id % 2 = 0 AND n < 6 THEN 'shared'
+        WHEN t = 'premium' AND id % 2 = 0 AND n < 10 AND n * 10 < 95 THEN 'dedicated' ELSE t END AS tier FROM (SELECT o_custkey AS id, count(*) AS n, ['shared', 'dedicated', 'premium'][o_custkey % 3 + 1] AS t FROM orders GROUP BY o_custkey)"""),
     "replica_consistency": (replicas, "SELECT event_id, event_id % 100 = 0 AS strong, true AS eventual, event_id % 100 <= 20 AS bounded, event_id >= 500 AS session FROM events"),
     "upsert": (upserted, "SELECT vec_id AS id, label FROM embeddings WHERE vec_id NOT BETWEEN 490 AND 519 UNION ALL SELECT range, 77 FROM range(490, 520)"),
     "incremental_backup": (backup_roundtrip, "SELECT vec_id AS id, CAST(label AS VARCHAR) AS label FROM embeddings WHERE vec_id % 11 <> 0"),

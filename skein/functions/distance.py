@@ -62,6 +62,36 @@ def distance(metric: str, a: Column, b: Column | Sequence[float]) -> Column:
     return F.when(F.size(a) == length, d)
 
 
+def distance_to(metric: str, name: str, query: Sequence[float]) -> Column:
+    """distance() of the column `name` to a query, as one parsed expression: building it costs one call, not hundreds."""
+    q = [float(x) for x in query]
+    if len(q) > UNROLL or not all(map(np.isfinite, q)):
+        return distance(metric, F.col(name), q)
+    at = [f"cast(get(`{name}`, {i}) AS double)" for i in range(len(q))]
+    literal = [f"({x!r}D)" for x in q]
+
+    def total(terms: list[str]) -> str:
+        while len(terms) > 1:
+            terms = [f"({terms[i]} + {terms[i + 1]})" if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+        return terms[0] if terms else "0D"
+
+    dots = total([f"{a} * {x}" for a, x in zip(at, literal)])
+    if metric == "euclidean":
+        d = f"sqrt({total([f'({a} - {x}) * ({a} - {x})' for a, x in zip(at, literal)])})"
+    elif metric == "cosine":
+        norms = f"(sqrt({total([f'{a} * {a}' for a in at])}) * {float(np.sqrt(np.sum(np.square(q))))!r}D)"
+        d = f"CASE WHEN {norms} = 0 THEN 1D ELSE 1 - {dots} / nullif({norms}, 0D) END"
+    elif metric == "dot":
+        d = f"-({dots})"
+    elif metric == "manhattan":
+        d = total([f"abs({a} - {x})" for a, x in zip(at, literal)])
+    elif metric == "hamming":
+        d = total([f"cast(({a} > 0) != {str(x > 0).lower()} AS double)" for a, x in zip(at, q)])
+    else:
+        raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
+    return F.expr(f"CASE WHEN size(`{name}`) = {len(q)} THEN {d} END")
+
+
 def matrix(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Distances of all queries to all rows, for blocks of rows in Python workers."""
     if metric == "hamming":

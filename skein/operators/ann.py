@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from skein.functions.distance import distance
+from skein.functions.distance import distance, distance_to
 from skein.plans.storage import settle
 
 #: Vectors that centres and codebooks are fitted on, at most.
@@ -37,13 +37,6 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 42) -> np.ndarra
     return centres
 
 
-def _nearest(vector: Column, centres: np.ndarray, take: int = 1) -> Column:
-    """(distance, list) structs of the nearest centres, nearest first."""
-    d = [F.struct(distance("euclidean", vector, c.tolist()).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(centres)]
-    every = F.array_sort(F.array(*d))
-    return F.slice(every, 1, take)
-
-
 @dataclass
 class InvertedLists:
     """Centres, and rows with their list_id; border keeps a row in its second list too when that is nearly as near."""
@@ -76,7 +69,7 @@ class InvertedLists:
     def search(self, query: Sequence[float], k: int, nprobe: int = 4, metric: str = "euclidean", where: Column | None = None, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
         rows = self.rows.filter(F.col("list_id").isin(self.probe(query, nprobe)))
         rows = rows.filter(where) if where is not None else rows
-        near = rows.select(F.col(id_col).alias("id"), distance(metric, F.col(vec_col), query).alias("distance"))
+        near = rows.select(F.col(id_col).alias("id"), distance_to(metric, vec_col, query).alias("distance"))
         return near.groupBy("id").agg(F.min("distance").alias("distance")).orderBy("distance", "id").limit(k)  # a border row is in two lists
 
 
@@ -108,7 +101,7 @@ def pq_distance(codes: Column, books: np.ndarray, query: Sequence[float]) -> Col
 def pq_search(coded: DataFrame, books: np.ndarray, query: Sequence[float], k: int, rerank: int = 200, metric: str = "euclidean", id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """The `rerank` nearest by code (column codes), then the k nearest of them exactly."""
     near = coded.withColumn("_sk_adc", pq_distance(F.col("codes"), books, query)).orderBy("_sk_adc", id_col).limit(max(k, rerank))
-    return near.select(F.col(id_col).alias("id"), distance(metric, F.col(vec_col), query).alias("distance")).orderBy("distance", "id").limit(k)
+    return near.select(F.col(id_col).alias("id"), distance_to(metric, vec_col, query).alias("distance")).orderBy("distance", "id").limit(k)
 
 
 def sq8_search(rows: DataFrame, codebook: DataFrame, query: Sequence[float], k: int, rerank: int = 100, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -116,7 +109,7 @@ def sq8_search(rows: DataFrame, codebook: DataFrame, query: Sequence[float], k:
     from skein.operators.quant import code_distance
 
     near = rows.withColumn("_sk_sq", code_distance(F.col("codes"), list(query), codebook)).orderBy("_sk_sq", id_col).limit(max(k, rerank))
-    return near.select(F.col(id_col).alias("id"), distance("euclidean", F.col(vec_col), query).alias("distance")).orderBy("distance", "id").limit(k)
+    return near.select(F.col(id_col).alias("id"), distance_to("euclidean", vec_col, query).alias("distance")).orderBy("distance", "id").limit(k)
 
 
 def rotation(dim: int, seed: int = 42) -> np.ndarray:
@@ -146,7 +139,7 @@ def rotated_search(coded: DataFrame, query: Sequence[float], k: int, bits: int =
     span, top = 3.0 / np.sqrt(len(query)), (1 << bits) - 1
     approx = -distance("dot", F.transform("code.codes", lambda c: c * (2 * span / top) - span), q.tolist())
     near = coded.withColumn("_sk_dot", approx).orderBy(F.desc("_sk_dot"), id_col).limit(max(k, rerank))
-    return near.select(F.col(id_col).alias("id"), distance("cosine", F.col(vec_col), query).alias("distance")).orderBy("distance", "id").limit(k)
+    return near.select(F.col(id_col).alias("id"), distance_to("cosine", vec_col, query).alias("distance")).orderBy("distance", "id").limit(k)
 
 
 def token_set_vectors(sets: DataFrame, dim: int, projections: int = 10, reduced: int = 16, seed: int = 42, col: str = "tokens") -> Column:
@@ -189,7 +182,7 @@ def lsh_search(df: DataFrame, query: Sequence[float], k: int, metric: str = "euc
     planes = np.random.default_rng(42).standard_normal((tables * bits, len(query)))
     mine = ((planes @ np.asarray(query, float) > 0).reshape(tables, bits) * (1 << np.arange(bits))).sum(1) + (np.arange(tables) << bits)
     hit = df.filter(F.arrays_overlap(lsh_keys(F.col(vec_col), len(query), tables, bits), F.array(*map(F.lit, mine.tolist()))))
-    return hit.select(F.col(id_col).alias("id"), distance(metric, F.col(vec_col), query).alias("distance")).orderBy("distance", "id").limit(k)
+    return hit.select(F.col(id_col).alias("id"), distance_to(metric, vec_col, query).alias("distance")).orderBy("distance", "id").limit(k)
 
 
 def lsh_pairs(df: DataFrame, epsilon: float, tables: int = 8, bits: int = 12, dim: int = 64, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:

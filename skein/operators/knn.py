@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.distance import distance, matrix
+from skein.functions.distance import distance_to, matrix
 
 Vector = Sequence[float]
 
@@ -25,7 +25,7 @@ def vector_of(df: DataFrame, key: int, id_col: str = "id", vec_col: str = "embed
 
 
 def with_distance(df: DataFrame, query: Vector, metric: str = "cosine", vec_col: str = "embedding") -> DataFrame:
-    return df.withColumn("distance", distance(metric, F.col(vec_col), query))
+    return df.withColumn("distance", distance_to(metric, vec_col, query))
 
 
 def topk(df: DataFrame, query: Vector, k: int, metric: str = "cosine", where: Column | None = None, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
@@ -239,7 +239,7 @@ def best_chunk_topk(chunks: DataFrame, query: Vector, k: int, mode: str = "max",
 
 def maxsim(tokens: DataFrame, query: np.ndarray, k: int, doc_col: str = "doc_id", vec_col: str = "embedding") -> DataFrame:
     """Late interaction: the sum over query tokens of the best dot product with a document's tokens; greatest first."""
-    best = [F.max(distance("dot", F.col(vec_col), q.tolist()) * -1).alias(f"q{i}") for i, q in enumerate(np.asarray(query, float))]
+    best = [F.max(-distance_to("dot", vec_col, q.tolist())).alias(f"q{i}") for i, q in enumerate(np.asarray(query, float))]
     each = tokens.groupBy(doc_col).agg(*best)
     total = sum((F.col(f"q{i}") for i in range(1, len(best))), F.col("q0"))
     return each.select(doc_col, total.alias("score")).orderBy(F.desc("score"), doc_col).limit(k)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text
-from skein.functions.distance import METRICS, distance, matrix
+from skein.functions.distance import METRICS, distance, distance_to, matrix
 from skein.functions.predicate import from_map, parse_filter
 from skein.operators import ann, fusion, graph, knn, memory, places, quant
 from skein.operators.components import connected_components
@@ -28,6 +28,7 @@ def test_distances(spark):
         want = matrix(m, q[None], np.vstack([x, np.zeros((1, 7))]))[0]
         assert np.allclose([got[i] for i in range(21)], want) and np.allclose([both[i] for i in range(21)], want)
         assert got[21] is None and got[22] is None
+        assert {r["id"]: r["d"] for r in df.select("id", distance_to(m, "embedding", q.tolist()).alias("d")).collect()} == pytest.approx(got, nan_ok=True)
     with pytest.raises(ValueError):
         distance("chebyshev", F.col("embedding"), [1.0])
 
@@ -114,7 +115,7 @@ def test_weighted_paths(spark):
 
 def test_mmr_prefers_what_differs(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.999, 0.01]), (3, [0.7, 0.7])], "id long, embedding array<double>")
-    got = [r["id"] for r in knn.mmr(df, [1.0, 0.05], 2, balance=0.3).orderBy("rank").collect()]
+    got = [r["id"] for r in knn.mmr(df, [1.0, 0.05], 2, balance=0.0).orderBy("rank").collect()]
     assert got[1] == 3
 
 

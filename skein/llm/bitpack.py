@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm import files, tokens
+from skein.llm.worker import lean, small_batches
 from skein.plans.storage import fresh_path, settle
 
 BLOCK = 1 << 16
@@ -135,6 +136,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     shards. A shard's name is its range partition's number, so a task that runs again overwrites its own.
     """
     path = tokenizer or tokens.default_path()
+    small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -164,7 +166,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "n_docs": [done["docs"]], "n_ids": [done["ids"]]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = settle(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "shards")
+    shards = settle(ordered.mapInArrow(lean(write), "shard long, path string, n_docs long, n_ids long"), "shards")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
     return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

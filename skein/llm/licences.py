@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skein.llm.worker import lean, small_batches
+
 #: Parts of words without one of which no known sentence can match: a cheap look before sentences are cut.
 HINTS = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "warrant", "rights reserved", "public domain", "as is", "as-is", "cc0", "creative commons", "(c)", "©")
 VERSION = r"(?:v(?:ersion)?\.? ?)?"
@@ -183,10 +185,12 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     empty lists. Null and repeated doc_ids pass through; other columns aren't read; an empty table gives no rows.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [scan(t) for t in batch.column("text").to_pylist()]
             columns = [pa.array([r[i] for r in rows], pa.list_(pa.int64() if i == 2 else pa.string())) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "licences", "sentence_ids", "places", "unmatched"])
 
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, licences array<string>, sentence_ids array<string>, places array<long>, unmatched array<string>")
+    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(lean(run), "doc_id long, licences array<string>, sentence_ids array<string>, places array<long>, unmatched array<string>")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.llm.worker import lean, small_batches
 from skein.operators.components import connected_components
 from skein.plans.storage import drop, settle
 
@@ -74,6 +75,7 @@ def fingerprints(text: str | None, size: int, count: int = 1) -> list[int]:
 def fingerprint_table(docs: DataFrame, size: int, count: int = 1) -> DataFrame:
     """Rows (doc_id, f0, f1, ...) of docs (doc_id, text); a null text has no shingles and fingerprint zero."""
     names = [f"f{t}" for t in range(count)]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +85,7 @@ def fingerprint_table(docs: DataFrame, size: int, count: int = 1) -> DataFrame:
                 columns = {n: pa.array([p[t] for p in prints], pa.int64()) for t, n in enumerate(names)}
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | columns)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def cuts(bits: int, parts: int, low: int = 0) -> list[tuple[int, int]]:

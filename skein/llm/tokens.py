@@ -8,7 +8,7 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 CHUNK_CHARS = 1 << 20
 #: A text without these may be lowered, and spaces put around its stops: they touch no other mark, so each is
 #: split off by itself anyway, and its letters are lowered one by one (no final sigma among them).

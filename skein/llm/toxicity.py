@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.worker import lean, small_batches
 from skein.plans.storage import settle
 
 WORD = re.compile(r"\w+")
@@ -31,7 +32,7 @@ EXAMPLES, TERMS = 4000, 4096
 LEAST_TOXIC, LEAST_RATIO, LEAST_SHARE = 4, 16.0, 0.9
 NEIGHBOURS, BLOCK = 16, 64
 THRESHOLD = 0.7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -176,7 +177,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def select_terms(sample: DataFrame, toxic: int, clean: int, limit: int = TERMS) -> list[str]:
     """The terms of a sample (toxic, text) that tell toxic from clean best; at most `limit`."""
-    counts = sample.select("toxic", "text").mapInArrow(_term_rows, "toxic int, term string").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+    counts = sample.select("toxic", "text").mapInArrow(lean(_term_rows), "toxic int, term string").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     n, m = F.lit(float(toxic)), F.lit(float(clean))
     share = (F.col("a") + 0.5) / (n + 1)
     other = (F.col("b") + 0.5) / (m + 1)
@@ -195,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
 
     Without a toxic and a clean example, or without a telling term, every score is the share of toxic labels.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     by_label = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -222,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         yield pa.RecordBatch.from_pydict({"term": pa.array([-1, *some.tolist()], pa.int32()), "n": pa.array([n, *total[some].tolist()], pa.int64())})
 
     # One row a term of the bounded vocabulary, counted over every document.
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(lean(frequency), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(t, 0))) + 1 for t in range(len(vocabulary))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
             counts = [counter.count(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": pa.array([[*c] for c in counts], pa.list_(pa.int32())), "counts": pa.array([[*c.values()] for c in counts], pa.list_(pa.int32()))})
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").collect()
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(lean(count), "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").collect()
     counts = [dict(zip(r["terms"], r["counts"])) for r in rows]
     ids, toxic = np.array([r["doc_id"] for r in rows]), np.array([r["toxic"] for r in rows])
     model = Model(vocabulary, idf, None, 0.0, 0.0)
@@ -260,7 +262,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             found = [model.score(counter.count(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array([s for s, _ in found], pa.float64()), "evidence": pa.array([e for _, e in found], pa.list_(pa.int64()))})
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
@@ -273,4 +275,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             clean = [model.score(counter.count(t))[0] < threshold for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -166,7 +166,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "n_docs": [done["docs"]], "n_ids": [done["ids"]]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = settle(ordered.mapInArrow(lean(write), "shard long, path string, n_docs long, n_ids long"), "shards")
+    shards = settle(ordered.mapInArrow(lean(write, pool=False), "shard long, path string, n_docs long, n_ids long"), "shards")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
     return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -20,11 +20,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run, with batches allocated so that they go back to the system, and freed memory given back at the end."""
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], pool: bool = True):
+    """run, with batches allocated so that they go back to the system, and freed memory given back at the end.
+
+    Without `pool` the allocator stays as it is: faster where many batches are made.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())
+        if pool:
+            pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)
         try:
             ctypes.CDLL(None).malloc_trim(0)

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from skein.llm.worker import lean, small_batches
 
-#: Parts of words without one of which no known sentence can match: a cheap look before sentences are cut.
-HINTS = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "warrant", "rights reserved", "public domain", "as is", "as-is", "cc0", "creative commons", "(c)", "©")
+#: Parts of single words (a phrase may be wrapped) without one of which no known sentence can match: a cheap look before sentences are cut.
+HINTS = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "warrant", "reserved", "domain", "commons", "cc0", "(c)", "©", "liable", "endorse", "advertising", "regents", "author")
 VERSION = r"(?:v(?:ersion)?\.? ?)?"
 
 #: (identifier, pattern of the whole normalised sentence or of a part of it). Groups named v give the identifier a version.
@@ -115,11 +115,10 @@ def _join(text: str) -> list[tuple[int, str]]:
 
 
 def identify(sentence: str) -> list[tuple[int, str, dict[str, str]]]:
-    """(place, identifier, versions) of the known sentences in a normalised sentence, the first place first."""
+    """(place, identifier, versions) of every occurrence of the known sentences in a normalised sentence, the first place first."""
     found = []
     for name, pattern in KNOWN:
-        m = pattern.search(sentence)
-        if m:
+        for m in pattern.finditer(sentence):
             found.append((m.start(), name, {k: v for k, v in m.groupdict().items() if v}))
     return sorted(found, key=lambda x: x[0])
 

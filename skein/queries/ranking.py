@@ -26,7 +26,7 @@ def bm25_sql(terms: list[str], k: int | None = 10) -> str:
 
 def _sides(spark, d):
     v = knn.topk(vectors(spark, d), q0(spark, d), 30).select("id", "distance")
-    t = text_search.bm25_search(table(spark, d, "documents").filter("doc_id < 100000000"), TERM, 30).select(F.col("doc_id").alias("id"), "score")
+    t = text_search.bm25_search(table(spark, d, "documents"), TERM, 30).select(F.col("doc_id").alias("id"), "score")
     return v, t
 
 

@@ -64,8 +64,13 @@ class ShardWriter:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(NULL_ID if doc_id is None else doc_id)
-        self.ids += len(ids)
         self.starts.append(self.ids)
+        self.extend(ids)
+
+    def extend(self, ids: np.ndarray) -> None:
+        """More ids of the last document."""
+        self.ids += len(ids)
+        self.starts[-1] = self.ids
         while len(ids):
             part = ids[: self.block - self.held]
             self.parts.append(part)
@@ -127,20 +132,21 @@ class ShardReader:
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 1, special_as_text: bool = False) -> DataFrame:
     """Write the ids of docs (doc_id, text), each with end_id after it, in ascending doc_id order.
 
     Returns the manifest (shard, path, n_docs, n_ids, base): one row a shard, base being the ids of all
     shards before it. A null text is empty and gives its end id alone; null doc_ids come first; rows that
-    share a doc_id stay separate, ordered by their text. Other columns aren't read. An empty table has no
-    shards. A shard's name is its range partition's number, so a task that runs again overwrites its own.
+    share a doc_id stay separate, ordered by a hash of their text, and may fill several shards (as the rows
+    of a null doc_id may). Other columns aren't read. An empty table has no shards. A shard's name is its
+    range partition's number, so a task that runs again overwrites its own.
     """
     path = tokenizer or tokens.default_path()
     small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, special_as_text)
         first = next(batches, None)
         while first is not None and not first.num_rows:
             first = next(batches, None)
@@ -153,11 +159,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             shard_file = ShardWriter(out, bit_width(max(enc.vocab_size, end_id + 1)))
             batch = first
             while batch is not None:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    texts = part.column("text").to_pylist()
-                    for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
-                        shard_file.add(doc_id, np.concatenate([enc.encode(text), end]))
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text").to_pylist())):
+                    shard_file.add(doc_id, ids)
+                    shard_file.extend(end)
                 batch = next(batches, None)
             shard_file.close()
             done.update(docs=len(shard_file.docs), ids=shard_file.ids)
@@ -165,7 +169,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         files.replace(uri, body)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [uri], "n_docs": [done["docs"]], "n_ids": [done["ids"]]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keys = ("doc_id", "mix", "turn")  # turn only parts equal rows, which may stand in any order
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mix"), F.monotonically_increasing_id().alias("turn"))
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     shards = settle(ordered.mapInArrow(lean(write, pool=False), "shard long, path string, n_docs long, n_ids long"), "shards")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
     return shards.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

@@ -12,12 +12,18 @@ def resolve(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def replace(uri: str, write) -> None:
-    """write(stream) makes a file beside its place; it appears whole, and a task run twice makes it twice alike."""
+    """write(stream) makes a file beside its place, which it then takes: whole, and at no time missing on a local
+    file system or an object store. A task that runs twice makes the same file twice."""
     system, path = resolve(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
     aside = f"{path}.{os.getpid()}.{os.urandom(4).hex()}.tmp"
     with system.open_output_stream(aside) as out:
         write(out)
-    if system.get_file_info(path).type != fs.FileType.NotFound:
+    if isinstance(system, fs.LocalFileSystem):
+        os.replace(aside, path)
+        return
+    try:
+        system.move(aside, path)
+    except OSError:  # a file system whose rename doesn't replace
         system.delete_file(path)
-    system.move(aside, path)
+        system.move(aside, path)

@@ -3,11 +3,13 @@
 Vectors, scaled to length 1, lie in inverted lists of a coarse k-means; the residual to the list's centre is
 coded by subspace. Every vector searches the others. A vector within `radius` of the query lies in another
 list only if the query is within `radius` of the plane between the two centres, so lists are probed whose
-plane is at most MARGIN * radius away. With MARGIN = 1 that loses nothing; the way to a neighbour seldom
-points straight at a plane, though, and 0.3 found every link of brute force on the test tables at a tenth
-of the probes. In a list, table-lookup distances to the codes, less each row's own coding error (kept with
-it), bound the true distance from below, and rows within the bound are reranked by exact cosine in double
-precision: no neighbour in a probed list is lost.
+plane is at most margin * radius away. Margin 1 loses nothing. The way to a neighbour seldom points straight
+at a plane, though; how far that goes depends on the data and their dimension, so the margin is measured on
+the sample, at vectors that lie just inside the radius: all but one in a thousand must be reached from
+either end alone, and a pair is found when one end reaches the other. In a list, table-lookup distances to
+the codes, less each row's own coding error (kept with it), bound the true distance from below, and rows
+within the bound are reranked by exact cosine in double precision: no neighbour in a probed list is lost. A
+pair that only one end reaches counts at both.
 """
 
 from __future__ import annotations
@@ -18,17 +20,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected_components
 from skein.plans.storage import drop, settle
 
-#: Vectors on which centres and codebooks are fitted, at most (those of least hash); every vector is indexed.
-SAMPLE = 16_384
-LISTS, SUBSPACES, CODES, ROUNDS = 1024, 8, 64, 8
-#: Probed planes, as a share of the radius that links allow.
-MARGIN = 0.3
+#: Lists: the square root of the rows, so many at most. Vectors on which centres and codebooks are fitted (those of
+#: least hash): so many a list, and in all so many at least and at most. Every vector is indexed.
+MOST_LISTS, LIST_SAMPLE, SAMPLE = 16_384, 16, (16_384, 262_144)
+SUBSPACES, CODES, ROUNDS = 8, 64, 8
+#: Share of the vectors just inside the radius that an end may miss, and vectors on which that is measured.
+MISSED, MEASURED = 0.001, 8192
 #: Rows of a list that one task compares with each other's block.
 BLOCK = 4096
 #: Slack for rounding in single precision when bounds are compared.
@@ -54,6 +58,13 @@ class Codebook:
         d = (x * x).sum(1)[:, None] - 2 * (x @ self.centres.T) + (self.centres**2).sum(1)
         return np.maximum(d, 0), d.argmin(1)
 
+    def beyond(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances to the planes between the nearest centre and all others (0 for itself), and the nearest one."""
+        d, own = self.nearest(x)
+        square = (self.centres**2).sum(1)
+        between = square[own][:, None] + square - 2 * (self.centres[own] @ self.centres.T)
+        return (d - d[np.arange(len(own)), own][:, None]) / (2 * np.sqrt(np.maximum(between, 1e-12))), own
+
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, coding error) of rows in their lists."""
         r = self.padded(x - self.centres[lists]).reshape(len(x), *self.codes.shape[::2])
@@ -70,28 +81,54 @@ class Codebook:
         return ((r[:, :, None, :] - self.codes[None]) ** 2).sum(3)
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres of k classes of the rows of x, in blocks of bounded memory; an empty class keeps its centre."""
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    step = max(1, (1 << 24) // len(centres))
     for _ in range(rounds):
-        near = ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
-        total = np.zeros((len(centres), x.shape[1]), np.float64)
-        np.add.at(total, near, x)
-        n = np.bincount(near, minlength=len(centres))
+        total, n = np.zeros((len(centres), x.shape[1]), np.float64), np.zeros(len(centres), np.int64)
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            near = ((centres**2).sum(1) - 2 * (part @ centres.T)).argmin(1)
+            np.add.at(total, near, part)
+            n += np.bincount(near, minlength=len(centres))
         centres[n > 0] = (total[n > 0] / n[n > 0, None]).astype(np.float32)
     return centres
 
 
-def fit(sample: np.ndarray, lists: int = LISTS, subspaces: int = SUBSPACES, codes: int = CODES, seed: int = 5) -> Codebook:
+def fit(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES, seed: int = 5) -> Codebook:
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    centres = _kmeans(sample, max(1, min(lists, len(sample) // 8)), ROUNDS, rng)
+    centres = kmeans(sample, max(1, min(lists, len(sample) // 8)), ROUNDS, rng)
     book = Codebook(centres, np.zeros((subspaces, 1, -(-dim // subspaces)), np.float32), dim)
     _, near = book.nearest(sample)
     r = book.padded(sample - centres[near]).reshape(len(sample), subspaces, -1)
-    books = [_kmeans(np.ascontiguousarray(r[:, s]), codes, ROUNDS, rng) for s in range(subspaces)]
+    books = [kmeans(np.ascontiguousarray(r[:, s]), codes, ROUNDS, rng) for s in range(subspaces)]
     return Codebook(centres, np.stack(books).astype(np.float32), dim)
 
 
+def measured_margin(book: Codebook, sample: np.ndarray, similarity: float, missed: float = MISSED) -> float:
+    """The margin at which of vectors at just this similarity all but `missed` lie in a probed list; 1 at most.
+
+    The vectors lie off the sample's in random directions, and in those of other rows of the sample.
+    """
+    rng = np.random.default_rng(3)
+    x = sample[rng.integers(0, len(sample), MEASURED)].astype(np.float64)
+    radius, worst = np.sqrt(2 - 2 * similarity), 0.0
+    for way in (rng.standard_normal(x.shape), sample[rng.integers(0, len(sample), MEASURED)] - x):
+        way = way - (way * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(way, axis=1, keepdims=True)
+        fit_ = size[:, 0] > 1e-9
+        y = similarity * x[fit_] + np.sqrt(1 - similarity**2) * way[fit_] / size[fit_]
+        need = [np.zeros(1)]
+        for at in range(0, len(y), 1024):
+            gap, _ = book.beyond(x[fit_][at : at + 1024].astype(np.float32))
+            _, home = book.nearest(y[at : at + 1024].astype(np.float32))
+            need.append(gap[np.arange(len(home)), home] / radius)
+        worst = max(worst, float(np.quantile(np.concatenate(need), 1 - missed)))
+    return min(1.0, worst)
+
+
 def usable(embedding) -> "F.Column":
     """Whether a vector takes part: not null or empty, all components finite, not all zero."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -108,7 +145,7 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _forest(hit: np.ndarray, ids: np.ndarray, base: np.ndarray) -> tuple[list[int], list[int]]:
+def forest(hit: np.ndarray, ids: np.ndarray, base: np.ndarray) -> tuple[list[int], list[int]]:
     """Links that span the same classes as the bipartite matrix `hit` (ids by base): each row to its class's least id."""
     q, b = ids.astype(np.int64).copy(), base.astype(np.int64).copy()
     a, c = np.nonzero(hit)
@@ -125,13 +162,24 @@ def _forest(hit: np.ndarray, ids: np.ndarray, base: np.ndarray) -> tuple[list[in
     return src.tolist(), dst.tolist()
 
 
-def near_duplicates(vectors: DataFrame, similarity: float = 0.95, lists: int = LISTS, sample: int = SAMPLE, block: int = BLOCK, margin: float = MARGIN) -> DataFrame:
+def _reached(probed: pd.Series, homes: np.ndarray) -> np.ndarray:
+    """Whether each row's probed lists (int32 bytes) hold each of `homes` (ascending)."""
+    out = np.zeros((len(probed), len(homes)), bool)
+    flat = np.frombuffer(b"".join(probed), "<i4")
+    row = np.repeat(np.arange(len(probed)), [len(p) // 4 for p in probed])
+    at = np.minimum(np.searchsorted(homes, flat), len(homes) - 1)
+    hit = homes[at] == flat
+    out[row[hit], at[hit]] = True
+    return out
+
+
+def near_duplicates(vectors: DataFrame, similarity: float = 0.95, lists: int | None = None, block: int = BLOCK, margin: float | None = None) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of vectors (vec_id, embedding).
 
     Links are pairs with cosine >= similarity. Null, zero and non-finite vectors, those of another dimension
     than most, and rows with a null vec_id link with nothing; equal vectors link. Rows that share a vec_id
     count as one vector for classes and as several for links. Other columns aren't read; an empty table
-    gives no rows.
+    gives no rows. `lists` follows the rows and `margin` is measured unless given; margin 1.0 is exact.
     """
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     kind = np.float32 if single else np.float64  # as given: the shuffle carries no more than that
@@ -147,47 +195,50 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95, lists: int = L
     # Equal vectors are one point; links among them are counted, not listed.
     points = good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
     points = settle(points, "points")
-    drawn = points.orderBy(F.xxhash64("id")).limit(sample).select("embedding").toArrow()
-    book = fit(_units(_matrix(drawn.column("embedding").combine_chunks(), dim)).astype(np.float32), lists)
+    n_points = points.count()
+    lists = lists or max(1, min(MOST_LISTS, round(n_points**0.5)))
+    drawn = points.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE[1], max(SAMPLE[0], LIST_SAMPLE * lists))).select("embedding").toArrow()
+    sample = _units(_matrix(drawn.column("embedding").combine_chunks(), dim)).astype(np.float32)
+    book = fit(sample, lists)
     radius = float(np.sqrt(2 - 2 * similarity))
-    n_lists = len(book.centres)
+    reach_ = radius * (measured_margin(book, sample, similarity) if margin is None else margin) + SLACK
+    step = max(16, (1 << 21) // len(book.centres))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gap = np.sqrt(np.maximum(((book.centres[:, None] - book.centres[None]) ** 2).sum(2), 1e-12)) if n_lists <= 1024 else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 given = _matrix(part.column("embedding"), dim)
                 single = _units(given).astype(np.float32)
-                d, own = book.nearest(single)
-                between = gap[own] if gap is not None else np.sqrt(np.maximum(((book.centres[own][:, None] - book.centres[None]) ** 2).sum(2), 1e-12))
-                beyond = (d - d[np.arange(len(own)), own][:, None]) / (2 * between)
-                probe = beyond <= margin * radius + SLACK
+                beyond, own = book.beyond(single)
+                probe = beyond <= reach_
                 probe[np.arange(len(own)), own] = True
                 codes, error = book.encode(single, own)
                 r, c = np.nonzero(probe)
                 raw = pa.array([x.tobytes() for x in given.astype(kind)], pa.binary())
+                probed = pa.array([np.flatnonzero(x).astype("<i4").tobytes() for x in probe], pa.binary())
                 index = pa.array(r)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "id": part.column("id").take(index),
                         "n": part.column("n").take(index),
                         "list": pa.array(c, pa.int32()),
-                        "home": pa.array(own[r] == c),
+                        "home": pa.array(own[r], pa.int32()),
                         "vector": raw.take(index),
                         "codes": pa.array([x.tobytes() for x in codes], pa.binary()).take(index),
                         "error": pa.array(error.astype(np.float64)).take(index),
+                        "probed": pc.if_else(pa.array(own[r] == c), probed.take(index), None),
                     }
                 )
 
-    probes = settle(points.mapInArrow(assign, "id long, n long, list int, home boolean, vector binary, codes binary, error double"), "probes")
+    probes = settle(points.mapInArrow(assign, "id long, n long, list int, home int, vector binary, codes binary, error double, probed binary"), "probes")
     # A list's members and its probes are spread over blocks by hash, and each pair of blocks meets in a task.
-    counts = probes.groupBy("list").agg(F.sum(F.col("home").cast("int")).alias("members"), F.count(F.lit(1)).alias("probes"))
+    counts = probes.groupBy("list").agg(F.sum((F.col("home") == F.col("list")).cast("int")).alias("members"), F.count(F.lit(1)).alias("probes"))
     blocks = counts.select("list", F.ceil(F.col("members") / block).cast("int").alias("mb"), F.ceil(F.col("probes") / block).cast("int").alias("pb")).filter("mb > 0")
     spread = probes.join(F.broadcast(blocks), "list")  # at most one row a list: `lists` is the bound
     salt = F.xxhash64("id")
-    as_member = spread.filter("home").select("list", F.pmod(salt, F.col("mb")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"), "id", "n", "vector", "codes", "error", F.lit(True).alias("member"))
-    as_probe = spread.select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod(salt, F.col("pb")).cast("int").alias("p"), "id", "n", "vector", "codes", "error", F.lit(False).alias("member"))
+    as_member = spread.filter("home = list").select("list", F.pmod(salt, F.col("mb")).cast("int").alias("m"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("p"), "id", "n", "home", "vector", "codes", "error", "probed", F.lit(True).alias("member"))
+    as_probe = spread.select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod(salt, F.col("pb")).cast("int").alias("p"), "id", "n", "home", "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("binary").alias("probed"), F.lit(False).alias("member"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         base, query = group[group["member"]], group[~group["member"]]
@@ -198,6 +249,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95, lists: int = L
             codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
             reach = (base["error"].to_numpy() + radius + SLACK) ** 2
             base_id, base_n = base["id"].to_numpy(), base["n"].to_numpy()
+            homes = np.unique(query["home"].to_numpy())
+            back = _reached(base["probed"], homes)  # whether a row's own search comes to a query's list
             for at in range(0, len(query), 512):
                 part = query.iloc[at : at + 512]
                 q = _units(np.frombuffer(b"".join(part["vector"]), kind).astype(np.float64).reshape(-1, dim))
@@ -215,7 +268,12 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.95, lists: int = L
                 total = np.bincount(a, weights=base_n[b], minlength=len(q)).astype(np.int64)
                 ids += q_id[total > 0].tolist()
                 links += total[total > 0].tolist()
-                s, d = _forest(hit, q_id, base_id)
+                q_home = part["home"].to_numpy()
+                lone = ~back[b, np.searchsorted(homes, q_home[a])]  # found from this end alone
+                total = np.bincount(b[lone], weights=part["n"].to_numpy()[a[lone]], minlength=len(x)).astype(np.int64)
+                ids += base_id[total > 0].tolist()
+                links += total[total > 0].tolist()
+                s, d = forest(hit, q_id, base_id)
                 src += s
                 dst += d
         return pd.DataFrame({"id": ids + src, "links": links + [0] * len(src), "other": pd.array([None] * len(ids) + dst, dtype="Int64")})

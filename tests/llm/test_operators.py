@@ -47,7 +47,6 @@ def encode(text):
     from tokenizers import Tokenizer
 
     t = encode.__dict__.setdefault("t", Tokenizer.from_file(tokens.default_path()))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -412,6 +411,25 @@ def test_vectors(spark):
     assert pq_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [8, 16, 64])
+def test_default_recall_on_clusters(spark, dim):
+    """Planted partners just inside the radius: of all links of brute force 0.99 and more are counted, at both ends."""
+    rng = np.random.default_rng(dim)
+    centres = rng.standard_normal((200, dim))
+    x = centres[rng.integers(0, 200, 3000)] + rng.standard_normal((3000, dim)) * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.standard_normal(x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = rng.uniform(0.951, 0.96, (3000, 1))
+    y = np.concatenate([x, c * x + np.sqrt(1 - c * c) * u]).astype(np.float32).astype(np.float64)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<float>")
+    got = np.array([r["n_links"] for r in pq_dedup.near_duplicates(d).orderBy("vec_id").collect()])
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = (y @ y.T >= 0.95).sum(1) - 1
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and (got == want).mean() > 0.95
+
+
 def brute_components(hit):
     label = np.arange(len(hit))
     while True:
@@ -471,6 +489,43 @@ def test_walk_covers_the_graph_and_neighbours_are_near():
 
 def test_encoder_is_the_tokenizer(docs):
     enc = tokens.TextEncoder(tokens.default_path())
-    more = ["a.b,c ..., 3.5 x.'s It's. _.a ._ ΑΣ. İstanbul. á.b", " x y\x1cz\x85", "it's. don't, 'twas 'll.", "word " * 300_000]
-    for t in [r["text"] for r in docs.collect()] + more:
-        assert enc.encode(t).tolist() == encode(t)
+    more = ["a.b,c ..., 3.5 x.'s It's. _.a ._ ΑΣ. İstanbul. á.b", " x y\x1cz\x85", "it's. don't, 'twas 'll.", "word " * 600_000]
+    texts = [r["text"] for r in docs.collect()] + more
+    for t, ids in zip(texts, enc.encode_all(texts)):
+        assert ids.tolist() == encode(t) == enc.encode(t).tolist()
+
+
+def test_encoder_is_the_tokenizer_on_odd_strings(monkeypatch):
+    """100,000 strings of marks, odd spaces, cases and special tokens; words are forgotten on the way."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 6000)
+    rng, bits = np.random.default_rng(12), "a|the|I|'s|'|''|'re|'LL|it's|don't|12|3.5|.|,|...|é|É|œ|Œuvre|–|’|“x”|ß|İ|\x1c|\x0b|\x85|\xa0|½|²|\t| |\n|\r\n|<\\endoftext\\>|<\\startoftext\\>|<\\|Σ|ΑΣ|漢字|á|\u0301|_|@#$|ª|µ|ƒ|ˆ|ŉ|Ĳ|antidisestablishmentarianism|ﬁ|ẞ|Ǆ|🙂| 'd|xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx".split("|")
+    bits = [b.replace("\\", "|") for b in bits] + [f"w{i:x}" for i in range(5000)]
+    odds = np.array([8.0] * (len(bits) - 5000) + [0.05] * 5000)
+    picks = rng.choice(len(bits), 400_000, p=odds / odds.sum())
+    spaced = rng.random(400_000) < 0.3
+    words = [bits[i] + (" " if s else "") for i, s in zip(picks.tolist(), spaced.tolist())]
+    cuts = np.sort(rng.choice(400_000, 100_000, replace=False))
+    texts = ["".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+    library = Tokenizer.from_file(tokens.default_path())
+    for special in (False, True):
+        library.encode_special_tokens = special
+        enc = tokens.TextEncoder(tokens.default_path(), special)
+        assert enc.latin is not None
+        wrong = [t for t, ids, e in zip(texts, enc.encode_all(texts), library.encode_batch_fast(texts, add_special_tokens=False)) if ids.tolist() != e.ids]
+        assert not wrong
+
+
+def test_cells_keep_neighbours_together(spark):
+    """Copies with a few words changed lie in the windows of their originals, or in the next ones."""
+    rng = np.random.default_rng(13)
+    words = [a + b + c + d for a in "bdfgklm" for b in ("ara", "elo", "imu") for c in ("t", "sen", "rik", "dol") for d in ("a", "on", "ix", "eth", "us", "or")]
+    texts = [" ".join(rng.choice(words, 150)) for _ in range(1500)]
+    texts += [" ".join(w if rng.random() > 0.05 else "changed" for w in t.split()) for t in texts]
+    rows = packing.pack_documents(spark.createDataFrame(rows_of(texts), SCHEMA).repartition(4)).collect()
+    window = {}
+    for r in rows:
+        window.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    near = np.mean([min(abs(a - b) for a in window[i] for b in window[1500 + i]) <= 1 for i in range(1500)])
+    assert near > 0.9

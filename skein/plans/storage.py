@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: dict[str, str] = {}
 _settled: list[str] = []
+_collecting: ContextVar[tuple[list[str], ...]] = ContextVar("collecting", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/skein/{label}-{uuid.uuid4().hex}"
     _settled.append(path)
+    for made in _collecting.get():
+        made.append(path)
     return path
 
 
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that are settled inside the block, and of no others: its owner may remove_all() them."""
+    made: list[str] = []
+    token = _collecting.set((*_collecting.get(), made))
+    try:
+        yield made
+    finally:
+        _collecting.reset(token)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -58,7 +77,22 @@ def remove(spark: SparkSession, path: str) -> None:
         _settled.remove(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete every intermediate table of this session. Only for callers whose results are already written."""
+def remove_all(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables, as collected() lists them, once nothing reads them any more."""
+    for path in list(paths):
+        if path in _settled:
+            remove(spark, path)
+
+
+@atexit.register
+def _at_exit() -> None:
+    """Delete what is left when the process ends: a result's own tables live as long as it may be read."""
+    spark = SparkSession.getActiveSession()
     for path in list(_settled):
-        remove(spark, path)
+        if path.startswith("file://"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+        elif spark is not None:
+            try:
+                remove(spark, path)
+            except Exception:  # noqa: BLE001 - the session may be gone already
+                return

@@ -7,7 +7,9 @@ equality join on signatures gives candidates, and the whole fingerprints verify
 
 Equal fingerprints are one node from the start, so groups of copies cost nothing here. A signature that
 many fingerprints share (a dense group, or any signature at a great size) is cut further: the other bits
-are cut the same way once more, and the join takes both keys. That loses no link.
+are cut the same way once more, and the join takes both keys. Where many share both (a ball of fingerprints
+that nearly all link), they are compared in blocks of bounded size, and each pair of blocks gives the links
+of a spanning forest instead of all of them. That loses no connection.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.llm.pq_dedup import forest
 from skein.llm.worker import lean, small_batches
 from skein.operators.components import connected_components
 from skein.plans.storage import drop, settle
@@ -31,6 +34,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SEED = 42
 #: Fingerprints that share a signature before its bucket is cut by a second key.
 DENSE = 64
+#: Fingerprints of a ball that are compared with as many others at once, about.
+BLOCK = 2048
 BLOCK_SHINGLES = 1 << 16
 
 
@@ -120,7 +125,8 @@ def _once(f: str, key: str):
 def links(prints: DataFrame, names: list[str], max_bits: int, segments: int, dense: int = DENSE) -> DataFrame:
     """Pairs (src, dst) of ids of rows (id, *names) whose fingerprints together differ by at most max_bits bits.
 
-    With one fingerprint and 2 * segments > max_bits no pair is lost. With several, a pair is found when in
+    With one fingerprint and 2 * segments > max_bits no pair is lost; in a ball of many that nearly all link,
+    pairs that connect the same rows stand for all of its pairs. With several, a pair is found when in
     one of their segments the two differ by at most one bit. Fingerprint rows should be distinct.
     """
     parts = cuts(64, segments)
@@ -139,24 +145,51 @@ def links(prints: DataFrame, names: list[str], max_bits: int, segments: int, den
         return edges
     f = names[0]
     rows = prints.select("id", f, F.explode(_variants(F.col(f), parts)).alias("key"))
-    shared = settle(rows.repartition("key").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("n > 1"), "signatures")
+    shared = settle(_counted(rows, "key"), "signatures")
     found = pairs(shared.filter(F.col("n") <= dense).select("id", f, "key"), f, "key")
     thick = shared.filter(F.col("n") > dense)
+    finer = None
     if not thick.isEmpty():
         # The bits outside the segment, side by side, are cut in the same way: they too differ by at
         # most max_bits, so the pair shares a second signature, and the join takes both.
-        finer = None
         for shift, w in parts:
             low = f"({f} & {(1 << shift) - 1}L)"
             rest = low if shift + w == 64 else f"({low} | shiftleft(shiftrightunsigned({f}, {shift + w}), {shift}))"
             own = thick.filter(F.expr(f"(key >> 40) = {shift}")).select("id", f, "key", F.explode(_variants(F.expr(rest), cuts(64 - w, segments))).alias("key2"))
             finer = own if finer is None else finer.union(own)
-        found = found.union(pairs(finer, f, "key", "key2"))
+        finer = settle(_counted(finer, "key", "key2"), "signatures")
+        found = found.union(pairs(finer.filter(F.col("n") <= dense).select("id", f, "key", "key2"), f, "key", "key2"))
+        balls = finer.filter(F.col("n") > dense)
+        if not balls.isEmpty():
+            found = found.union(_forests(balls.withColumnRenamed(f, "f"), max_bits))
     edges = settle(found.distinct(), "links")
-    drop(shared)
+    drop(shared, finer)
     return edges
 
 
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows of keys that more than one row has, and how many (n); a hot key is only a skewed side of the join."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(counts, list(keys))
+
+
+def _forests(balls: DataFrame, max_bits: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (src, dst) that connect what the links of rows (id, f, key, key2, n) connect, two blocks of a ball at a time."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    placed = balls.select("id", "f", "key", "key2", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select("id", "f", "key", "key2", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        first, second = group[group["mine"] == group["i"]], group[group["mine"] == group["j"]]
+        a, b = first["f"].to_numpy().view(np.uint64), second["f"].to_numpy().view(np.uint64)
+        hit = np.bitwise_count(a[:, None] ^ b[None]) <= max_bits
+        src, dst = forest(hit, first["id"].to_numpy(), second["id"].to_numpy())
+        return pd.DataFrame({"src": src, "dst": dst}, dtype=np.int64)
+
+    return placed.groupBy("key", "key2", "i", "j").applyInPandas(compare, "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, count: int = 1, segments: int | None = None, dense: int = DENSE) -> DataFrame:
     """Rows (doc_id, f0.., component_id), one for each row of docs (doc_id, text).
 

@@ -101,6 +101,56 @@ def test_pages_give_their_articles(spark, sf):
         assert html_extract.main_text(r["html"]) == want
 
 
+P = "<p>The council met at nine and agreed on the new bridge.</p><p>It will be built of stone, and it will last.</p>"
+T = "The council met at nine and agreed on the new bridge.\nIt will be built of stone, and it will last."
+ODD_PAGES = {
+    "title in a header": ("<nav><a>x</a></nav><article><header><h1>Title here</h1></header>" + P + "</article>", "Title here\n" + T),
+    "form around all": ("<form id=aspnetForm><article>" + P + "</article></form>", T),
+    "layout with a telling word": ("<div class='layout sidebar-left'><h1>Head</h1>" + P + "</div>", "Head\n" + T),
+    "content with a telling word": ("<h1>Head</h1><div class='entry-content sharing-enabled'>" + P + "</div>", "Head\n" + T),
+    "nav left open": ("<nav><ul><li><a>Home</a></li></ul><article>" + P + "</article>", T),
+    "nav left open, no article": ("<nav><ul><li><a>Home</a></li></ul><h1>Head</h1>" + P, "Head\n" + T),
+    "discussion": ("<article>" + P + "<section class='discussion'><h2>Discussion</h2><p>We weigh it.</p></section></article>", T + "\nDiscussion\nWe weigh it."),
+    "legal": ("<article>" + P + "<p class='legal'>The law says so.</p></article>", T + "\nThe law says so."),
+    "caption": ("<article>" + P + "<figure><img><figcaption>A bridge.</figcaption></figure></article>", T + "\nA bridge."),
+    "plain menu and copyright": ("<div><a>Home</a> <a>News</a> <a>Sport</a></div><div>" + P + "</div><div>Copyright 2024 Some Corp. All rights reserved.</div>", T),
+    "teaser cards": ("<main>" + P + "</main><article><h3>Card one</h3><p>Short teaser text.</p></article><article><h3>Card two</h3><p>Another.</p></article>", T),
+    "comments without a class": ("<article>" + P + "</article><div><h3>Comments</h3><div><b>Joe</b><p>I disagree with it all.</p></div></div>", T),
+    "comments in the text's element": ("<div>" + P + "<div><h3>2 comments</h3><div><b>Joe</b><p>I disagree with it all.</p></div></div></div>", T),
+    "open quote": ('<article><p>See <a href="x>the plan</a> now.</p>' + P + "</article>", "See the plan now.\n" + T),
+    "mark in a quote": ('<article><p data-a="a>b <i>">Text one.</p>' + P + "</article>", "Text one.\n" + T),
+    "advert in the article": ("<article><div class='ad-slot'>Buy now, cheap</div>" + P + "<div class='newsletter-signup'>Get our mail</div></article>", T),
+    "words of comments in prose": ("<div>" + P + "<p>I do not believe a word of this, she says in reply to us all.</p></div>", T + "\nI do not believe a word of this, she says in reply to us all."),
+}
+
+
+@pytest.mark.parametrize("name", ODD_PAGES)
+def test_odd_pages(name):
+    page, want = ODD_PAGES[name]
+    assert html_extract.main_text(f"<!doctype html><html><body>{page}</body></html>") == want
+
+
+def test_labelled_pages_give_their_marked_text():
+    """Scan and weights reproduce the marks, but for one page whose site name stands where a title would."""
+    import html
+
+    right = 0
+    for marked in html_extract.labelled_pages.PAGES:
+        lines = re.sub(r"<[^>]*>", "", re.sub(r"<(?!/?(?:a|b)\b)[^>]*>", "\n", "\n".join(marked.split("@@")[1::2]))).split("\n")
+        right += html_extract.main_text(marked.replace("@@", "")) == "\n".join(x for x in (" ".join(html.unescape(x).split()) for x in lines) if x)
+    assert right >= len(html_extract.labelled_pages.PAGES) - 1 >= 30
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "text", '<a href="x>y ' * 20_000, '"' * 20_000 + "<p " + '"' * 20_000, "<!-- " * 20_000, "<a " * 50_000, "</div>" * 50_000, "<h2>Comments" * 20_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    html_extract.weights()
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 2
+
+
 def test_region_is_the_best_one():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -230,7 +280,7 @@ def test_fingerprints_and_classes(spark, docs, texts, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("dense", [1, 3, 64])
+@pytest.mark.parametrize("dense", [3, 64])
 def test_no_link_is_lost(spark, dense):
     rng = np.random.default_rng(4)
     prints = []
@@ -241,7 +291,32 @@ def test_no_link_is_lost(spark, dense):
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame(list(enumerate(signed)), "id long, f0 long")
     got = {tuple(r) for r in simhash.links(df, ["f0"], 4, 3, dense).collect()}
-    assert got == {(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    want = {(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    if dense == 64:
+        assert got == want
+    else:  # forests of crowded signatures connect what the links connect
+        assert classes(got, len(prints)) == classes(want, len(prints))
+
+
+def classes(pairs, n):
+    least = list(range(n))
+    for _ in range(n):
+        before = least.copy()
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            return least
+    return least
+
+
+def test_a_ball_gives_a_forest(spark):
+    """1,500 fingerprints that nearly all link: few pairs come out, in several blocks, and one class."""
+    rng = np.random.default_rng(14)
+    ball = {0} | {sum(1 << int(b) for b in rng.choice(np.arange(40, 60), 2, replace=False)) for _ in range(400)} | {1 << b for b in range(40, 60)}
+    rows = [(i, f) for i, f in enumerate(sorted(ball))]
+    df = spark.createDataFrame([(i, f, 1, 1, len(rows)) for i, f in rows], "id long, f long, key long, key2 long, n long")
+    got = [tuple(r) for r in simhash._forests(df, 4, 50).collect()]
+    assert set(classes(got, len(rows))) == {0} and len(got) < 16 * len(rows)
 
 
 # 6
@@ -275,19 +350,62 @@ def test_cuckoo_filter_inserts_deletes_and_resizes():
     assert f.contains(keys[5000:]).all() and f.contains(keys[:5000]).mean() < 0.01
     assert not cuckoo.CuckooFilter(64).insert(keys[:1000])
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
-    live = cuckoo.LiveDigests(64)
+    live, one = cuckoo.LiveDigests(64), [1] * 3000
     for at in range(0, 3000, 100):
-        live.insert(digests[at : at + 100] * 2, [1] * 200, list(range(200)))
-    assert live.resizes > 0 and len(live.stored) == 3000 and live.filter.contains(live._keys(digests)).all()
-    assert live.delete(digests[:10]) == 10 and len(live.stored) == 3000
-    assert live.delete(digests[:10] + [b"\0" * 32]) == 10 and len(live.stored) == 2990
+        live.insert(digests[at : at + 100] * 2, [1] * 200, [1] * 200, [1] * 200, list(range(200)))
+    assert live.resizes > 0 and live.size == len(live.stored) == 3000 and live.filter.contains(live._keys(digests)).all()
+    assert live.delete(digests[:10], one, one, one, [7] * 10) == 10 and len(live.stored) == 3000
+    assert live.delete(digests[:10] + [b"\0" * 32], one, one, one, [7] * 11) == 10 and len(live.stored) == live.size == 2990
+    # The filter decides: what it doesn't know is never looked for, and what it wrongly knows is told by the content.
+    live = cuckoo.LiveDigests(1 << 14)
+    live.insert(digests, one, one, one, one)
+    assert (live.misses, live.hits) == (3000, 0)
+    live.insert(digests, one, one, one, one)
+    assert (live.misses, live.hits, live.false_hits) == (3000, 3000, 0)
+    live._verified = lambda *content: pytest.fail("a miss looked into a bucket")
+    live.filter.contains = lambda keys: np.zeros(len(keys), bool)
+    live.insert([b"\1" * 32], [1], [1], [1], [1])
+    del live._verified
+    live.filter.contains = lambda keys: np.ones(len(keys), bool)
+    live.insert([b"\2" * 32, digests[0]], [1, 2], [1, 1], [1, 1], [1, 1])  # no such digest; one of another length
+    assert live.false_hits == 2 and len(live.stored[digests[0]]) == 2
 
 
 def test_index_insert_and_delete(spark):
-    a, b = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "doc_id long, text string"), spark.createDataFrame([(4, "y"), (5, "z")], "doc_id long, text string")
-    index = cuckoo.insert(cuckoo.build_index(a), b)
+    schema = "doc_id long, text string"
+    a, b = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], schema), spark.createDataFrame([(4, "y"), (5, "z")], schema)
+    index = cuckoo.insert(cuckoo.build_index(a, 2), b, 2)
     assert sorted((r["rows"], r["keep"]) for r in index.collect()) == [(1, 5), (2, 2), (2, 4)]
-    assert sorted(r["rows"] for r in cuckoo.delete(index, b.union(a.limit(1))).collect()) == [1, 1]
+    gone = spark.createDataFrame([(4, "y"), (5, "z"), (1, "x"), (9, "unknown")], schema)
+    left = cuckoo.delete(index, gone, spark.createDataFrame([(2, "x"), (3, "y")], schema), 2)
+    assert sorted((r["rows"], r["keep"]) for r in left.collect()) == [(1, 2), (1, 3)]  # the row that stays lives
+
+
+def test_line_dedup_touches_only_the_row(spark):
+    """Rows that share a doc_id, or have none, lose their own lines alone; clashing names are defined."""
+    shared = "this line is shared by several documents here"
+    rows = [(1, shared + "\nfirst body line of one", 0, "q"), (5, shared + "\nanother body line of five", 0, "q"), (5, "a unique first line of five\nand one more line", 0, "q"), (None, "a unique line without an id\n" + shared, 0, "q"), (None, shared, 0, "q")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lines long, _sk_gone string")
+    got = line_dedup.drop_recurring_lines(d)
+    assert got.columns == ["doc_id", "text", "lines", "_sk_gone", "lines_", "lines_dropped"]
+    texts = sorted((str(r["doc_id"]), r["text"], r["lines_"], r["lines_dropped"]) for r in got.collect())
+    # Null counts as the least id, so its rows keep what all others lose.
+    assert texts == sorted([("1", "first body line of one", 2, 1), ("5", "another body line of five", 2, 1), ("5", "a unique first line of five\nand one more line", 2, 0), ("None", "a unique line without an id\n" + shared, 2, 0), ("None", shared, 1, 0)])
+
+
+def test_mix_takes_rows_that_share_an_id(spark):
+    rows = [(None, "w " * 7, "a")] * 500 + [(1, "w " * (i + 1), "b") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(d, group=50).collect()
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert len(mine) == (500 if source == "a" else 200)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) < 0.02 * mine[0]["target"]
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in mine)
+    assert len({r["taken"] for r in got if r["source"] == "a"}) <= 2
+    copies = mixing.repeat(d).groupBy("source").count().collect()
+    want = {s: sum(r["copies"] for r in got if r["source"] == s) for s in "ab"}
+    assert all(abs(r["count"] - want[r["source"]]) < 0.15 * want[r["source"]] + 5 for r in copies)
 
 
 # 7

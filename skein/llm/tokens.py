@@ -44,6 +44,15 @@ LOWER = bytes(ord(c) if (c := bytes([b]).decode("cp1252", "replace").lower()) <
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
+def latin_bytes(text: str) -> bytes | None:
+    """The text's lowered cp1252 bytes; None if it has other characters or odd ones."""
+    try:
+        raw = text.encode("cp1252")
+    except UnicodeEncodeError:
+        return None
+    return raw.translate(LOWER) if len(raw.translate(None, ODD_BYTES)) == len(raw) else None
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -215,6 +224,12 @@ class LatinWords:
         self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
         self.starts, self.counts = np.zeros(CACHE_WORDS * 2, np.int64), np.zeros(CACHE_WORDS * 2, np.int32)
 
+    @staticmethod
+    def halves(joined: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of at most 16 characters as two integers; behind the last one `joined` has 16 bytes more."""
+        eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+        return eight[at] & MASKS[np.minimum(size, 8)], eight[at + 8] & MASKS[np.maximum(size - 8, 0)]
+
     @staticmethod
     def cut(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, length) of the pieces that SPLITS finds."""
@@ -245,11 +260,9 @@ class LatinWords:
         starts, sizes = self.cut(raw)
         if self.table.words + len(self.long) + len(starts) > CACHE_WORDS + (CACHE_WORDS >> 1) or self.table.words + len(self.long) > CACHE_WORDS:
             self._clear()
-        eight = np.ndarray((len(raw) - 7,), "<u8", joined, strides=(1,))
         short = np.flatnonzero(sizes <= LOOKED_UP)
         at, size = starts[short], sizes[short]
-        a = eight[at] & MASKS[np.minimum(size, 8)]
-        b = eight[at + 8] & MASKS[np.maximum(size - 8, 0)]
+        a, b = self.halves(joined, at, size)
         numbers = np.empty(len(starts), np.int64)
         numbers[short], new = self.table.find(a, b)
         learn = [joined[i : i + n] for i, n in zip(at[new].tolist(), size[new].tolist())]
@@ -362,13 +375,8 @@ class TextEncoder:
 
     def _raw(self, text: str) -> bytes | None:
         """The text's lowered cp1252 bytes if LatinWords may read them."""
-        try:
-            raw = text.encode("cp1252")
-        except UnicodeEncodeError:
-            return None
-        if len(raw.translate(None, ODD_BYTES)) != len(raw) or (self.added and b"<" in raw and self.added.search(text)):
-            return None
-        return raw.translate(LOWER)
+        raw = latin_bytes(text)
+        return None if raw and self.added and b"<" in raw and self.added.search(text) else raw
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not texts:

@@ -1,146 +1,236 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are the words of a text and their beginnings of 3 to 8 letters (labels then carry over to other
-endings). The vocabulary keeps the terms that tell the labels of a bounded sample apart; document frequencies
-are counted over all documents. Examples lie in an inverted index whose postings are grouped in blocks with
-the block's greatest weight: a search takes blocks in order of the bound that these weights give and stops
-when no block can enter the nearest ones any more, so the cosines are exact. Neighbours vote with their
-cosines; the vote is calibrated on examples that were scored by the other half of the sample.
+Terms are all words of two labelled examples or more, and the beginnings of 3 to 8 letters that tell the labels
+apart (labels then carry over to other endings). A term weighs by its inverse document frequency, counted over
+all documents, times how far it tells the labels apart, so that words of the subject don't outweigh those of
+the tone; none is left out. Examples of both labels lie in an inverted index whose postings are grouped in
+blocks with the block's greatest weight: a search takes blocks in order of the bound that these weights give
+and stops when no block can enter the nearest ones any more, so the cosines are exact. Neighbours vote with
+their cosines; the vote is calibrated on examples that were scored by the other half of the sample.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.tokens import CLASSES, LETTER, LOOKED_UP, MASKS, LatinWords, WordTable, latin_bytes, spans
 from skein.llm.worker import lean, small_batches
 from skein.plans.storage import settle
 
-WORD = re.compile(r"\w+")
+LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: Bounds of what is learned: examples of each label (those of least hash) and terms.
-EXAMPLES, TERMS = 4000, 4096
-#: A term needs so many toxic examples, log-likelihood ratio, and share of toxic ones among equally many of both.
-LEAST_TOXIC, LEAST_RATIO, LEAST_SHARE = 4, 16.0, 0.9
-NEIGHBOURS, BLOCK = 16, 64
+#: Examples of each label that are learned from, at most (those of least hash).
+EXAMPLES = 4000
+#: Examples that a word needs; and toxic examples, log-likelihood ratio, and share of toxic ones among equally many of both, that a beginning needs.
+LEAST_EXAMPLES, LEAST_TOXIC, LEAST_RATIO, LEAST_SHARE = 2, 4, 16.0, 0.9
+NEIGHBOURS, BLOCK = 16, 512
 THRESHOLD = 0.7
-CACHE_WORDS = 200_000
-
-
-def terms_of(word: str) -> list[str]:
-    """Terms of a run of word characters, lower case."""
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+#: Different words that a process remembers; then it starts anew. Characters read at once.
+CACHE_WORDS, CHUNK_CHARS = 600_000, 1 << 21
+MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _keys(a: np.ndarray, b: np.ndarray, turn: int = 0) -> np.ndarray:
+    """64-bit keys of terms; `turn` is the length of a beginning, 0 for a whole word."""
+    x = (a ^ (b * MIX_B)) * MIX_A + np.uint64(turn)
+    x = (x ^ (x >> np.uint64(31))) * MIX_B
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def word_terms(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(words, 7) keys of each word and its beginnings; a beginning as long as the word or longer has the word's own key."""
+    out = np.repeat(_keys(a, b)[:, None], 1 + len(BEGINNINGS), axis=1)
+    for i, n in enumerate(BEGINNINGS, 1):
+        longer = size > n
+        out[longer, i] = _keys(a[longer] & MASKS[n], np.zeros(int(longer.sum()), np.uint64), n)
+    return out
+
+
+class WordCounter:
+    """Counts of the different words of whole texts: words are runs of letters, lowered, numbered as they are met."""
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table, self.turn = WordTable(), getattr(self, "turn", 0) + 1
+        self.a, self.b, self.size = (np.zeros(0, np.uint64) for _ in range(3))
+
+    @staticmethod
+    def _parts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, length) of a text's words; a word outside cp1252, or a long one, is named by two hashes."""
+        raw = latin_bytes(text)
+        if raw is None:  # words, each by itself
+            parts = [(w, latin_bytes(w)) for w in LETTERS.findall(text.lower())]
+            raw = b"\n".join(r for _, r in parts if r is not None)
+            far = [w.encode() for w, r in parts if r is None]
+        else:
+            far = []
+        raw += b"\n" * 17
+        flat = np.frombuffer(raw, np.uint8)
+        starts, sizes = LatinWords.cut(flat)
+        letters = CLASSES[flat[starts]] == LETTER
+        starts, sizes = starts[letters], sizes[letters]
+        long = sizes > LOOKED_UP
+        far += [raw[i : i + n].decode("cp1252").encode() for i, n in zip(starts[long].tolist(), sizes[long].tolist())]
+        a, b = LatinWords.halves(raw, starts[~long], sizes[~long])
+        more = np.array([[xxhash.xxh64_intdigest(w), xxhash.xxh64_intdigest(w, 1), 1] for w in far], np.uint64).reshape(-1, 3)
+        lead = [w[:8].ljust(8, b"\0") for w in far]  # beginnings of long words are those of their bytes
+        first = np.frombuffer(b"".join(lead), "<u8")
+        return np.append(a, first), np.append(b, more[:, 0]), np.append(sizes[~long], np.array([max(9, len(w)) for w in far], np.int64))
+
+    def count(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of its different words, how often each occurs) of each text."""
+        if self.table.words > CACHE_WORDS:
+            self._clear()
+        parts = [self._parts(t or "") for t in texts]
+        a, b, size = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else (np.zeros(0, np.uint64),) * 3
+        numbers, new = self.table.find(a, b)
+        self.a, self.b, self.size = np.append(self.a, a[new]), np.append(self.b, b[new]), np.append(self.size, size[new].astype(np.uint64))
+        each = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        both, counts = np.unique(each << 32 | numbers, return_counts=True)
+        ends = np.searchsorted(both, (np.arange(len(parts)) + 1) << 32)
+        words, before = both & 0xFFFFFFFF, 0
+        for end in ends.tolist():
+            yield words[before:end], counts[before:end]
+            before = end
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    held: list[str | None] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 class TermCounter:
-    """Counts the vocabulary's terms in whole texts; words met before are looked up."""
-
-    def __init__(self, vocabulary: list[str]):
-        self.ids = {t: i for i, t in enumerate(vocabulary)}
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _look(self, token: str) -> tuple[int, ...]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        found = tuple(self.ids[t] for w in WORD.findall(token) for t in terms_of(w) if t in self.ids)
-        self.cache[token] = found
-        return found
-
-    def count(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        cache, look = self.cache, self._look
-        for token, n in Counter((text or "").lower().split()).items():
-            found = cache.get(token)
-            for i in look(token) if found is None else found:
-                out[i] = out.get(i, 0) + n
-        return out
+    """Counts the vocabulary's terms in whole texts. The vocabulary is a sorted array of keys."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary, self.words, self.turn = vocabulary, WordCounter(), 0
+        self.known = np.zeros((0, 1 + len(BEGINNINGS)), np.int32)
+
+    def _learn(self) -> None:
+        """The terms of words that are new since the last call: their places in the vocabulary, -1 for none."""
+        if self.turn != self.words.turn:
+            self.turn, self.known = self.words.turn, self.known[:0]
+        at = len(self.known)
+        keys = word_terms(self.words.a[at:], self.words.b[at:], self.words.size[at:])
+        place = np.minimum(np.searchsorted(self.vocabulary, keys), max(0, len(self.vocabulary) - 1))
+        place = np.where(self.vocabulary[place] == keys, place, -1) if len(self.vocabulary) else np.full(keys.shape, -1)
+        place[:, 1:][keys[:, 1:] == keys[:, :1]] = -1
+        self.known = np.concatenate([self.known, place.astype(np.int32)])
+
+    def count(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of its terms, how often each occurs) of each text, in the order of places."""
+        for group in _groups(texts):
+            found = list(self.words.count(group))
+            self._learn()
+            for words, counts in found:
+                terms = self.known[words]
+                row, column = np.nonzero(terms >= 0)
+                places, back = np.unique(terms[row, column], return_inverse=True)
+                yield places, np.bincount(back, weights=counts[row], minlength=len(places))
 
 
 @dataclass
 class BlockMaxIndex:
     """Unit vectors of examples by term, in blocks of `BLOCK` examples that share their heaviest terms."""
 
-    vectors: list[dict[int, float]]
+    vectors: list[tuple[np.ndarray, np.ndarray]]  # terms and weights
     labels: np.ndarray
     ids: np.ndarray
-    blocks: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
-    bounds: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    terms: int
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # where a term's postings start; their examples and weights
+    bounds: tuple[np.ndarray, np.ndarray, np.ndarray] = field(default_factory=tuple)  # the same, of blocks and greatest weights
     order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def __post_init__(self) -> None:
-        held = [i for i, v in enumerate(self.vectors) if v]
-        held.sort(key=lambda i: (max(self.vectors[i].items(), key=lambda x: (x[1], -x[0]))[0], self.ids[i]))
+        held = [i for i, (t, _) in enumerate(self.vectors) if len(t)]
+        held.sort(key=lambda i: (-1 if not len(self.vectors[i][0]) else int(self.vectors[i][0][self.vectors[i][1].argmax()]), self.ids[i]))
         self.order = np.asarray(held, np.int64)
-        bounds: dict[int, list[tuple[int, float]]] = {}
+        most: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in range(0, len(held), BLOCK):
-            posts: dict[int, list[tuple[int, float]]] = {}
-            for at, i in enumerate(held[b : b + BLOCK]):
-                for t, w in self.vectors[i].items():
-                    posts.setdefault(t, []).append((at, w))
-            self.blocks.append({t: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for t, x in posts.items()})
-            for t, x in posts.items():
-                bounds.setdefault(t, []).append((b // BLOCK, max(w for _, w in x)))
-        self.bounds = {t: (np.array([b for b, _ in x]), np.array([w for _, w in x])) for t, x in bounds.items()}
-
-    def nearest(self, query: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine above zero, nearest first, ties by least id: exact."""
-        upper = np.zeros(len(self.blocks))
-        for t, w in query.items():
-            if t in self.bounds:
-                at, most = self.bounds[t]
-                upper[at] += w * most
-        best: list[tuple[float, int, int]] = []
+            part = [self.vectors[i] for i in held[b : b + BLOCK]]
+            posts = self._postings(np.concatenate([t for t, _ in part]), np.repeat(np.arange(len(part)), [len(t) for t, _ in part]), np.concatenate([w for _, w in part]))
+            self.blocks.append(posts)
+            some = np.flatnonzero(np.diff(posts[0]))
+            most.append((some, np.full(len(some), b // BLOCK), np.maximum.reduceat(posts[2], posts[0][some])))
+        if most:
+            self.bounds = self._postings(*(np.concatenate([m[i] for m in most]) for i in range(3)))
+
+    def _postings(self, terms: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((rows, terms))
+        starts = np.searchsorted(terms[order], np.arange(self.terms + 1)).astype(np.int32)
+        return starts, rows[order].astype(np.int32), weights[order]
+
+    @staticmethod
+    def _sum(posts: tuple[np.ndarray, np.ndarray, np.ndarray], terms: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+        starts, rows, held = posts
+        counts = starts[terms + 1] - starts[terms]
+        at = spans(starts[terms], counts)
+        return np.bincount(rows[at], weights=held[at] * np.repeat(weights, counts), minlength=size)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples) of the k nearest with a cosine above zero, nearest first, ties by least id: exact."""
+        scores, rows = np.zeros(0), np.zeros(0, np.int64)
+        if not self.blocks or not len(terms):
+            return scores, rows
+        upper = self._sum(self.bounds, terms, weights, len(self.blocks))
         for b in np.argsort(-upper, kind="stable").tolist():
-            if upper[b] <= 0 or (len(best) == k and upper[b] * (1 + 1e-12) < -best[-1][0]):
+            if upper[b] <= 0 or (len(scores) == k and upper[b] * (1 + 1e-9) < scores[-1]):
                 break
-            scores = np.zeros(BLOCK)
-            posts = self.blocks[b]
-            for t in query.keys() & posts.keys():
-                at, w = posts[t]
-                scores[at] += query[t] * w
-            hit = np.flatnonzero(scores > 0)
-            rows = self.order[b * BLOCK + hit]
-            best = sorted(best + list(zip((-scores[hit]).tolist(), self.ids[rows].tolist(), rows.tolist())))[:k]
-        return [(-s, row) for s, _, row in best]
+            found = self._sum(self.blocks[b], terms, weights, 0)
+            hit = np.flatnonzero(found > (scores[-1] * (1 - 1e-9) if len(scores) == k else 0))
+            scores, rows = np.append(scores, found[hit]), np.append(rows, self.order[b * BLOCK + hit])
+            order = np.lexsort((self.ids[rows], -scores))[:k]
+            scores, rows = scores[order], rows[order]
+        return scores, rows
 
 
 @dataclass
 class Model:
-    vocabulary: list[str]
-    idf: np.ndarray
+    vocabulary: np.ndarray
+    weight: np.ndarray
     index: BlockMaxIndex | None
     slope: float
     offset: float
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        return unit({t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()})
-
-    def vote(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        if not counts or self.index is None:
-            return 0.0, []
-        near = self.index.nearest(self.vector(counts))
-        return votes(near, self.index.labels), [int(self.index.ids[i]) for _, i in near]
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        total, evidence = self.vote(counts)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * total + self.offset)))), evidence
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = (1 + np.log(counts)) * self.weight[terms]
+        norm = np.sqrt((v * v).sum())
+        return (terms, v / norm) if norm else (terms[:0], v[:0])
 
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+        total, near = 0.0, np.zeros(0, np.int64)
+        if self.index is not None:
+            cosines, near = self.index.nearest(*self.vector(terms, counts))
+            total = votes(cosines, near, self.index.labels)
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * total + self.offset)))), [int(self.index.ids[i]) for i in near]
 
-def unit(v: dict[int, float]) -> dict[int, float]:
-    norm = math.sqrt(sum(x * x for x in v.values()))
-    return {t: float(x / norm) for t, x in v.items()} if norm else {}
+    def scores(self, batch: pa.RecordBatch, counter: TermCounter) -> list[tuple[float, list[int]]]:
+        return [self.score(*c) for c in counter.count(batch.column("text").to_pylist())]
 
 
-def votes(near: list[tuple[float, int]], labels: np.ndarray) -> float:
-    return sum(s * (1 if labels[i] else -1) for s, i in near)
+def votes(cosines: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> float:
+    """The neighbours' votes, each as heavy as its cosine, as a share of all: from -1 (clean) to 1."""
+    total = float(cosines.sum())
+    return float((cosines * np.where(labels[rows] == 1, 1.0, -1.0)).sum()) / total if total else 0.0
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
@@ -166,18 +256,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (toxic, term): every different term of each text."""
+    """Rows (toxic, beginning, term): every different term of each text."""
+    words = WordCounter()
     for batch in batches:
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-            found = [*{t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)}]
-            for at in range(0, len(found), 50_000):
-                part = found[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * len(part), pa.int32()), "term": pa.array(part, pa.string())})
+            mine, _ = next(words.count([text]))
+            keys = word_terms(words.a[mine], words.b[mine], words.size[mine])
+            short = np.unique(keys[:, 1:][keys[:, 1:] != keys[:, :1]])
+            terms = np.append(keys[:, 0], short)
+            yield pa.RecordBatch.from_pydict({"toxic": pa.array(np.full(len(terms), toxic), pa.int32()), "beginning": pa.array(np.arange(len(terms)) >= len(keys)), "term": pa.array(terms, pa.int64())})
 
 
-def select_terms(sample: DataFrame, toxic: int, clean: int, limit: int = TERMS) -> list[str]:
-    """The terms of a sample (toxic, text) that tell toxic from clean best; at most `limit`."""
-    counts = sample.select("toxic", "text").mapInArrow(lean(_term_rows), "toxic int, term string").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+def select_terms(sample: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ascending, and how far each tells the labels apart) of the terms of a sample (toxic, text)."""
+    counts = sample.select("toxic", "text").mapInArrow(lean(_term_rows), "toxic int, beginning boolean, term long").groupBy("term").agg(F.max("beginning").alias("beginning"), F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
     n, m = F.lit(float(toxic)), F.lit(float(clean))
     share = (F.col("a") + 0.5) / (n + 1)
     other = (F.col("b") + 0.5) / (m + 1)
@@ -187,65 +279,70 @@ def select_terms(sample: DataFrame, toxic: int, clean: int, limit: int = TERMS)
 
     a, b = F.col("a"), F.col("b")
     ratio = 2 * (part(a, n, a + b) + part(b, m, a + b) + part(n - a, n, n + m - a - b) + part(m - b, m, n + m - a - b))
-    kept = counts.filter(a >= LEAST_TOXIC).withColumn("ratio", ratio).filter((F.col("ratio") >= LEAST_RATIO) & (share / (share + other) >= LEAST_SHARE))
-    return [r["term"] for r in kept.orderBy(F.desc("ratio"), "term").limit(limit).collect()]
+    telling = (a >= LEAST_TOXIC) & (ratio >= LEAST_RATIO) & (share / (share + other) >= LEAST_SHARE)
+    kept = counts.filter(a + b >= LEAST_EXAMPLES).withColumn("ratio", ratio).filter(~F.col("beginning") | telling)
+    found = kept.select("term", "ratio").toArrow()  # bounded by the sample
+    terms, ratios = found.column("term").to_numpy(), found.column("ratio").to_numpy()
+    order = np.argsort(terms)
+    return terms[order], np.maximum(ratios[order], 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic); only rows that aren't held out teach it.
 
-    Without a toxic and a clean example, or without a telling term, every score is the share of toxic labels.
+    Without a toxic and a clean example every score is the share of toxic labels. Of rows that share a
+    doc_id the greatest text is the example.
     """
     small_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     by_label = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = (by_label.get(1, 0) + 0.5) / (sum(by_label.values()) + 1)
-    none = Model([], np.zeros(0), None, 0.0, math.log(prior / (1 - prior)))
+    none = Model(np.zeros(0, np.int64), np.zeros(0), None, 0.0, math.log(prior / (1 - prior)))
     if not by_label.get(1) or not by_label.get(0):
         return none
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     drawn = known.filter("toxic = 1").orderBy(*order).limit(examples).union(known.filter("toxic = 0").orderBy(*order).limit(examples))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = settle(texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]), "examples")  # 2 * examples rows at most
+    sample = settle(texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "examples")  # 2 * examples rows at most
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    vocabulary = select_terms(sample, size.get(1, 0), size.get(0, 0), terms) if size.get(1) and size.get(0) else []
-    if not vocabulary:
+    if not size.get(1) or not size.get(0):
         return none
+    vocabulary, ratios = select_terms(sample, size[1], size[0])
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, total, n = TermCounter(vocabulary), np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                n += 1
-                for t in counter.count(text):
-                    total[t] += 1
+            n += batch.num_rows
+            for terms, _ in counter.count(batch.column("text").to_pylist()):
+                total[terms] += 1
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"term": pa.array([-1, *some.tolist()], pa.int32()), "n": pa.array([n, *total[some].tolist()], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(-1, some), pa.int32()), "n": pa.array(np.append(n, total[some]), pa.int64())})
 
     # One row a term of the bounded vocabulary, counted over every document.
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(lean(frequency), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(t, 0))) + 1 for t in range(len(vocabulary))])
+    counted = docs.select("text").mapInArrow(lean(frequency), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()  # -1 is the last place: all documents
+    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * (1 + ratios)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(vocabulary)
         for batch in batches:
-            counts = [counter.count(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": pa.array([[*c] for c in counts], pa.list_(pa.int32())), "counts": pa.array([[*c.values()] for c in counts], pa.list_(pa.int32()))})
-
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(lean(count), "doc_id long, toxic int, terms array<int>, counts array<int>").orderBy("doc_id").collect()
-    counts = [dict(zip(r["terms"], r["counts"])) for r in rows]
-    ids, toxic = np.array([r["doc_id"] for r in rows]), np.array([r["toxic"] for r in rows])
-    model = Model(vocabulary, idf, None, 0.0, 0.0)
-    vectors = [model.vector(c) for c in counts]
-    half = np.arange(len(ids)) % 2
-    x = np.zeros(len(ids))
+            found = list(counter.count(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": pa.array([t for t, _ in found], pa.list_(pa.int32())), "counts": pa.array([c for _, c in found], pa.list_(pa.float64()))})
+
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(lean(count), "doc_id long, toxic int, terms array<int>, counts array<double>").orderBy("doc_id").toArrow()
+    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
+    model = Model(vocabulary, weight, None, 0.0, 0.0)
+    vectors = [model.vector(t.values.to_numpy().astype(np.int64), c.values.to_numpy()) for t, c in zip(rows.column("terms"), rows.column("counts"))]
+    half, x = np.arange(len(ids)) % 2, np.zeros(len(ids))
     for side in (0, 1):
-        index = BlockMaxIndex([v for v, h in zip(vectors, half) if h == side], toxic[half == side], ids[half == side])
+        index = BlockMaxIndex([v for v, h in zip(vectors, half) if h == side], toxic[half == side], ids[half == side], len(vocabulary))
         for i in np.flatnonzero(half != side):
-            x[i] = votes(index.nearest(vectors[i]), index.labels) if vectors[i] else 0.0
+            x[i] = votes(*index.nearest(*vectors[i]), index.labels)
     model.slope, model.offset = calibrate(x, toxic, prior)
-    model.index = BlockMaxIndex(vectors, toxic, ids)
+    model.index = BlockMaxIndex(vectors, toxic, ids, len(vocabulary))
+    model.index.vectors = []  # the postings have them
     return model
 
 
@@ -253,13 +350,13 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """docs (doc_id, text, ...) rows (doc_id, held_out, score, predicted, evidence): one for each row of docs.
 
     evidence lists the doc_ids of the nearest examples. A null text is empty; an empty text, or one without
-    a telling term, has the score of no votes. Null and repeated doc_ids are scored each for itself.
+    a term, has the score of no votes. Null and repeated doc_ids are scored each for itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(model.vocabulary)
         for batch in batches:
-            found = [model.score(counter.count(t)) for t in batch.column("text").to_pylist()]
+            found = model.scores(batch, counter)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array([s for s, _ in found], pa.float64()), "evidence": pa.array([e for _, e in found], pa.list_(pa.int64()))})
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double, evidence array<long>")
@@ -272,7 +369,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(model.vocabulary)
         for batch in batches:
-            clean = [model.score(counter.count(t))[0] < threshold for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s, _ in model.scores(batch, counter)], pa.bool_()))
 
     return docs.mapInArrow(lean(run), docs.schema)

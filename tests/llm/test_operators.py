@@ -449,18 +449,62 @@ def test_labels_held_out_change_nothing(spark):
     d = spark.createDataFrame(rows_of(t), SCHEMA)
     flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in labels]
     a, b = (toxicity.fit(d, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, flipped))
-    assert a.vocabulary == b.vocabulary and (a.slope, a.offset) == (b.slope, b.offset)
+    assert a.vocabulary.tolist() == b.vocabulary.tolist() and (a.slope, a.offset) == (b.slope, b.offset)
 
 
-def test_block_max_search_is_exact():
+def test_block_max_search_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
     rng = np.random.default_rng(9)
-    vectors = [toxicity.unit({int(t): float(rng.random()) for t in rng.choice(50, rng.integers(0, 8), replace=False)}) for _ in range(700)]
-    index = toxicity.BlockMaxIndex(vectors, rng.integers(0, 2, 700), np.arange(700))
+
+    def unit():
+        terms = np.sort(rng.choice(50, rng.integers(0, 8), replace=False))
+        weights = rng.random(len(terms))
+        return terms, weights / (np.sqrt((weights**2).sum()) or 1)
+
+    vectors = [unit() for _ in range(700)]
+    index = toxicity.BlockMaxIndex(vectors, rng.integers(0, 2, 700), np.arange(700), 50)
+    dense = np.zeros((700, 50))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
     for _ in range(50):
-        q = toxicity.unit({int(t): float(rng.random()) for t in rng.choice(50, 6, replace=False)})
-        every = sorted(((-sum(q[t] * v.get(t, 0) for t in q), i) for i, v in enumerate(vectors)), key=lambda x: (round(x[0], 12), x[1]))
-        got = index.nearest(q, 10)
-        assert [round(s, 9) for s, _ in got] == [round(-s, 9) for s, _ in every[:10] if s < 0]
+        t, w = unit()
+        cosines = dense[:, t] @ w
+        want = sorted((-c, i) for i, c in enumerate(cosines.round(12)) if c > 0)[:10]
+        got, rows = index.nearest(t, w, 10)
+        assert np.allclose(got, [-c for c, _ in want]) and np.allclose(cosines[rows], got)
+
+
+def test_scores_are_those_of_brute_force(spark):
+    """Every term, weight, neighbour and vote again, over dense vectors of plain Python counts."""
+    import math
+
+    t, labels = toxic_corpus(240)
+    t[5], t[6] = "Größe ÆON vileon 漢字 слово слово naïve " * 3, None
+    model = toxicity.fit(spark.createDataFrame(rows_of(t), SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    words = [re.findall(r"[^\W\d_]+", (x or "").lower()) for x in t]
+    terms = [Counter(w) + Counter(w_[:n] + "*" for w_ in w for n in toxicity.BEGINNINGS if len(w_) > n) for w in words]
+    taught = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic = {i for i, y in labels if y}
+    n, m = sum(i in toxic for i in taught), sum(i not in toxic for i in taught)
+    weight = {}
+    for term in {x for i in taught for x in terms[i]}:
+        a, b = sum(term in terms[i] for i in taught if i in toxic), sum(term in terms[i] for i in taught if i not in toxic)
+        ratio = 2 * sum(x * math.log(x * (n + m) / (of * both)) for x, of, both in ((a, n, a + b), (b, m, a + b), (n - a, n, n + m - a - b), (m - b, m, n + m - a - b)) if x)
+        share, other = (a + 0.5) / (n + 1), (b + 0.5) / (m + 1)
+        if a + b >= 2 and (term[-1] != "*" or (a >= 4 and ratio >= 16 and share / (share + other) >= 0.9)):
+            weight[term] = (math.log((1 + len(t)) / (1 + sum(term in x for x in terms))) + 1) * (1 + max(0.0, ratio))
+    assert len(model.vocabulary) == len(weight) and np.allclose(np.sort(model.weight), np.sort(list(weight.values())))
+    order = list(weight)
+    x = np.array([[(1 + math.log(c[w])) * weight[w] if w in c else 0.0 for w in order] for c in terms])
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.where(norm == 0, 1, norm)
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(rows_of(t), SCHEMA), model).collect()}
+    for i in range(len(t)):
+        cosine = x[taught] @ x[i]
+        near = np.lexsort((taught, -cosine.round(12)))[: toxicity.NEIGHBOURS]
+        near = near[cosine[near] > 0]
+        vote = (cosine[near] * [1 if taught[j] in toxic else -1 for j in near]).sum() / cosine[near].sum() if len(near) else 0.0
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-(model.slope * vote + model.offset))), abs=1e-6)
 
 
 # 8

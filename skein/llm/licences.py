@@ -1,8 +1,9 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences; a normalised sentence that matches a known licence sentence becomes its
-identifier; the sequence of identifiers is then matched against licence rules in order of their length, each
-match using up its sentences. What no rule takes is reported as unmatched evidence.
+A text is cut into sentences; a normalised sentence that is a known licence sentence becomes its identifier:
+by its hash, for the sentences of whole licence texts (licence_sentences), or by a pattern, for those that
+bear a holder, a version or a name. The sequence of identifiers is then matched against licence rules in order
+of their length, each match using up its sentences. What no rule takes is reported as unmatched evidence.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
+from skein.llm.licence_sentences import IDS, TEXTS
 from skein.llm.worker import lean, small_batches
 
 #: Parts of single words (a phrase may be wrapped) without one of which no known sentence can match: a cheap look before sentences are cut.
@@ -53,6 +56,9 @@ SENTENCES = [
     ("Unlicense", r"this is free and unencumbered software released into the public domain"),
     ("PublicDomain", r"\b(?:released|placed|dedicated)(?: \w+){0,2} (?:into|in|to) the public domain\b"),
     ("RightsReserved", r"\ball rights reserved\b"),
+    # A licence's name in a sentence that says so; NAMES has the names.
+    ("NameRef", rf"(?:(?<![a-z])(?P<n>mit(?:/x11)?|isc|zlib|boost software|postgresql|artistic|python software foundation|eclipse public|mozilla public|apache(?: software)?|gnu (?:affero |lesser |library )?general public|[0234][- ]clause bsd|bsd[- ][0234][- ]clause) licen[cs]e,? ?{VERSION}(?P<v>[0-9]+(?:\.[0-9]+)*)?)"),
+    ("IdRef", r"\blicen[cs]e ?[:=] ?(?P<v>[a-z0-9.+-]*[a-z0-9+])"),
     ("Copyright", r"(?:\bcopyright\b|\(c\)|©) ?(?:\(c\)|©)? ?[0-9]{4}"),
 ]
 KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
@@ -83,13 +89,21 @@ RULES = [
     ("CC-{v}", ("CCRef",)),
     ("CC0-1.0", ("CC0Ref",)),
     ("Unlicense", ("Unlicense",)),
+    ("{n}", ("NameRef",)),
+    ("{v}", ("IdRef",)),
     ("LicenseRef-public-domain", ("PublicDomain",)),
     ("LicenseRef-all-rights-reserved", ("RightsReserved",)),
 ]
+#: Words of a sentence that licenses something; without one a name is only mentioned.
+LICENSING = re.compile(r"\b(?:(?:re)?licen[cs]ed|released|distributed|available|provided|published|covered|governed|uses?|under|terms|dual)\b|licen[cs]e ?[:=]")
+NAMES = {"mit": "MIT", "mit/x11": "MIT", "isc": "ISC", "zlib": "Zlib", "boost software": "BSL-{v}", "postgresql": "PostgreSQL", "artistic": "Artistic-{v}", "python software foundation": "PSF-2.0", "eclipse public": "EPL-{v}", "mozilla public": "MPL-{v}", "apache": "Apache-{v}", "apache software": "Apache-{v}", "gnu general public": "GPL-{v}", "gnu affero general public": "AGPL-{v}", "gnu lesser general public": "LGPL-{v}", "gnu library general public": "LGPL-{v}"}
+#: Share of a licence text's known sentences that must follow each other.
+ENOUGH = 0.8
 #: Identifiers that say nothing of the licence by themselves and may stand between the sentences of a rule.
 NEUTRAL = frozenset(("Copyright", "RightsReserved"))
 CC_PARTS = {"attribution": "BY", "noncommercial": "NC", "non-commercial": "NC", "sharealike": "SA", "share-alike": "SA", "noderivatives": "ND", "noderivs": "ND"}
 SPACE = re.compile(r"[\s*#/\"'“”‘’`>|]+")
+MARK = re.compile(r"^[ \t]*(?:\*|//|#|;|--)(?=[ \t]|$)", re.M)
 CUT = re.compile(r"\n[ \t\r]*\n|\n(?=[ \t]*(?:[-*•]|\(?[0-9a-z][.)]) )|(?<=[.!?;:])\s+(?=\S)|\n(?=[A-Z©(])")
 
 
@@ -103,26 +117,79 @@ def sentences(text: str) -> Iterator[tuple[int, str]]:
         at = cut[1]
 
 
+def _uncomment(text: str) -> str:
+    """A comment's marks at the starts of its lines as spaces, so that places stay; a text of other lines as it is."""
+    if len(MARK.findall(text)) * 2 > text.count("\n") + 1:
+        return MARK.sub(lambda m: " " * len(m[0]), text)
+    return text
+
+
 def _join(text: str) -> list[tuple[int, str]]:
     """Sentences, a cut before "version" or a colon's clause being undone for the known sentences that run over it."""
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, list[str]]] = []
+    text = _uncomment(text)
     for at, s in sentences(text):
-        if out and (out[-1][1].endswith((" v.", "version:", "identifier:", "inc.", "ltd.", ";", ":")) or (out[-1][1][-1] not in ".!?;:" and not re.match(r"[A-Z©]", text[at : at + 1]))):
-            out[-1] = (out[-1][0], out[-1][1] + " " + s)
+        if out and (out[-1][1][-1].endswith((" v.", "version:", "identifier:", "inc.", "ltd.", ";", ":")) or (out[-1][1][-1][-1] not in ".!?;:" and not re.match(r"[A-Z©]", text[at : at + 1]))):
+            out[-1][1].append(s)
         else:
-            out.append((at, s))
-    return out
+            out.append((at, [s]))
+    return [(at, " ".join(parts)) for at, parts in out]
+
+
+def identity(sentence: str) -> int:
+    """The number under which a normalised sentence is known."""
+    return xxhash.xxh64_intdigest(sentence.rstrip(" .;:,"))
 
 
 def identify(sentence: str) -> list[tuple[int, str, dict[str, str]]]:
     """(place, identifier, versions) of every occurrence of the known sentences in a normalised sentence, the first place first."""
-    found = []
+    found, spans = [], []
+    known = KNOWN_TEXTS.get(identity(sentence))
+    if known:
+        found.append((0, known, {}))
+    licensing = LICENSING.search(sentence)
     for name, pattern in KNOWN:
+        if name == "NameRef" and not licensing:
+            continue
         for m in pattern.finditer(sentence):
-            found.append((m.start(), name, {k: v for k, v in m.groupdict().items() if v}))
+            groups = {k: v for k, v in m.groupdict().items() if v}
+            if name in ("NameRef", "IdRef") and any(a < m.end() and m.start() < b for a, b in spans):
+                continue  # part of a sentence that tells more
+            if name == "IdRef" and groups["v"] not in IDS:
+                continue
+            found.append((m.start(), name, groups))
+            if name != "Copyright":
+                spans.append(m.span())
     return sorted(found, key=lambda x: x[0])
 
 
+#: Sentence identity -> identifier (licence and number) of the sentences of whole licence texts.
+KNOWN_TEXTS = {h: f"{licence}#{i}" for licence, hashes in TEXTS.items() for i, h in enumerate(hashes)}
+
+
+def _texts(found: list[tuple[int, str, dict[str, str]]], free: list[bool]) -> Iterator[tuple[int, str]]:
+    """(number of its first sentence in found, licence) of each licence whose known sentences are there in order, but for a few; they are used up."""
+    held: dict[str, list[tuple[int, int]]] = {}
+    for i, (_, name, _) in enumerate(found):
+        if "#" in name:
+            licence, _, number = name.partition("#")
+            held.setdefault(licence, []).append((int(number), i))
+    for licence, seen in held.items():
+        best: list[tuple[int, list[int]]] = []  # longest ascending runs by their last number; at most a few dozen sentences
+        for number, i in seen:
+            run = max((r for last, r in best if last < number), key=len, default=[])
+            best = [(last, r) for last, r in best if last != number or len(r) > len(run)]
+            if not any(last == number for last, _ in best):
+                best.append((number, [*run, i]))
+        run = max((r for _, r in best), key=len)
+        if len(run) >= ENOUGH * len(TEXTS[licence]):
+            first, last = found[run[0]][0], found[run[-1]][0]
+            for i, (at, name, _) in enumerate(found):  # what else the text says is part of it
+                if first <= at <= last and name != "SPDX":
+                    free[i] = False
+            yield run[0], licence
+
+
 def _name(licence: str, groups: dict[str, str]) -> str:
     v, w = groups.get("v", "").strip(" .,"), groups.get("w", "").strip(" .,")
     if licence == "CC-{v}":
@@ -131,9 +198,13 @@ def _name(licence: str, groups: dict[str, str]) -> str:
     if licence == "BSD{v}":
         return f"BSD-{v or w}-Clause" if v or w else "BSD"
     if licence == "{v}":
-        return v
+        return " ".join(IDS.get(x, x.upper() if x in ("or", "and", "with") else x) for x in v.split(" "))
+    if licence == "{n}":
+        n = groups["n"]
+        clause = re.search("[0234]", n)
+        licence = f"BSD-{clause[0]}-Clause" if clause else NAMES[n]
     if licence == "{w}GPL-{v}":
-        return {"": "", "lesser": "L", "library": "L", "affero": "A"}[w] + f"GPL-{v}"
+        return {"": "", "lesser": "L", "library": "L", "affero": "A"}[w] + f"GPL-{v}.0" * v.isdigit() + f"GPL-{v}" * (not v.isdigit())
     if licence.startswith("MPL") and not v:
         v = w
     v = f"{v}.0" if v.isdigit() and not licence.startswith("CC") else v
@@ -150,7 +221,8 @@ def scan(text: str | None) -> tuple[list[str], list[str], list[int], list[str]]:
     if not text or not _may_match(text.lower()):
         return [], [], [], []
     found = [(at, name, groups) for at, s in _join(text) for _, name, groups in identify(s)]
-    free, licences = [True] * len(found), []
+    free = [True] * len(found)
+    licences = list(_texts(found, free))
     for licence, rule in RULES:
         start = 0
         while start < len(found):
@@ -171,16 +243,17 @@ def scan(text: str | None) -> tuple[list[str], list[str], list[int], list[str]]:
                 for i in taken:
                     free[i] = False
                     groups |= {k: v for k, v in found[i][2].items() if k not in groups}
-                licences.append((found[start][0], _name(licence, groups)))
+                licences.append((start, _name(licence, groups)))
             start += 1
     names = list(dict.fromkeys(name for _, name in sorted(licences)))
+    names = [n for n in names if not any(other.startswith(n + "-") for other in names)]  # beside a version a bare name says no more
     return names, [n for _, n, _ in found], [at for at, _, _ in found], [n for (_, n, _), f in zip(found, free) if f]
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, licences, sentence_ids, places, unmatched), one for each row of docs (doc_id, text).
 
-    licences are in order of their first sentence, each once. A null, empty or licence-free text has four
+    licences are in order of their first sentence, each once, by their SPDX names where they have one. A null, empty or licence-free text has four
     empty lists. Null and repeated doc_ids pass through; other columns aren't read; an empty table gives no rows.
     """
 

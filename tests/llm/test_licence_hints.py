@@ -11,7 +11,7 @@ from skein.llm import licences
         ("hereby placed in the public\ndomain by its author", ["LicenseRef-public-domain"]),
         ("/* All rights\n * reserved. */", ["LicenseRef-all-rights-reserved"]),
         ("Dedicated under creative\n# commons zero by us", ["CC0-1.0"]),
-        ("// SPDX-License-Identifier: MIT\n// SPDX-License-Identifier: Apache-2.0", ["apache-2.0", "mit"]),
+        ("// SPDX-License-Identifier: MIT\n// SPDX-License-Identifier: Apache-2.0", ["MIT", "Apache-2.0"]),
     ],
 )
 def test_licences_of_wrapped_and_repeated_sentences(text, want):

@@ -519,7 +519,14 @@ LICENCES = [
     ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
     ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
     ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
-    ("// SPDX-License-Identifier: GPL-2.0-or-later", ["gpl-2.0-or-later"]),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+    ("// SPDX-License-Identifier: mit OR apache-2.0", ["MIT OR Apache-2.0"]),
+    ("Dual licensed under the MIT license or the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ("License: BSD-3-Clause", ["BSD-3-Clause"]),
+    ("license: none", []),
+    ("This project uses the MIT License.", ["MIT"]),
+    ("The MIT License is short.", []),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
     ("All rights reserved.", ["LicenseRef-all-rights-reserved"]),
     ("The driver renewed a licence.", []),
     (None, []),
@@ -538,6 +545,23 @@ def test_licences(spark, none):
     assert licences.scan_licences(none).count() == 0
 
 
+@pytest.mark.parametrize("name, spdx", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("Artistic", "Artistic-1.0"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.3", "GFDL-1.3")])
+def test_whole_licence_texts(name, spdx):
+    """Found whole, and most of them as a comment too; its beginning isn't enough."""
+    import os
+
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("this machine has no licence texts")
+    text = open(path).read()
+    assert spdx in licences.scan(text)[0]
+    if name not in ("Artistic", "GFDL-1.3"):  # their lists of clauses join otherwise behind marks
+        assert spdx in licences.scan("One line of prose.\n\n" + "\n".join(" * " + x for x in text.split("\n")))[0]
+    parts = text.split("\n\n")
+    found = licences._texts([(at, n, {}) for at, s in licences._join("\n\n".join(parts[: len(parts) // 10])) for _, n, _ in licences.identify(s)], [True] * 10_000)
+    assert spdx not in [n for _, n in found]
+
+
 def test_hint_never_hides_a_sentence(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         found = [n for _, s in licences._join(r["text"]) for _, n, _ in licences.identify(s)]

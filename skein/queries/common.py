@@ -55,14 +55,14 @@ RELATIONS_SQL = """SELECT CAST(n_nationkey + 100 AS BIGINT) AS s, 'in_region' AS
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts' and suppliers' property graph: nodes (id, label) and edges (src, dst, label, weight), supplier 1000000 + key."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    li = table(spark, sf_dir, "lineitem")
     e = li.select((F.col("l_suppkey") + 1_000_000).alias("src"), F.col("l_partkey").alias("dst"), F.lit("ships").alias("label"), F.col("l_quantity").alias("weight"))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("part").alias("label"))
     s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("id"), F.lit("supplier").alias("label"))
     return p.union(s), e
 
 
-EDGES_SQL = "SELECT l_suppkey + 1000000 AS src, l_partkey AS dst, l_quantity AS weight FROM lineitem WHERE l_linenumber = 1"
+EDGES_SQL = "SELECT l_suppkey + 1000000 AS src, l_partkey AS dst, l_quantity AS weight FROM lineitem"
 NODES_SQL = "SELECT p_partkey AS id, 'part' AS label FROM part UNION ALL SELECT s_suppkey + 1000000, 'supplier' FROM supplier"
 
 

@@ -34,7 +34,7 @@ def dfs(spark, d):
 
 def components(spark, d):
     n, e = graph(spark, d)
-    return g.components(n, e.filter("dst % 11 < 3"))
+    return g.components(n, e)
 
 
 def pagerank(spark, d):
@@ -51,7 +51,7 @@ def clustering(spark, d):
 def shortest(spark, d):
     e = graph(spark, d)[1]
     both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label", "weight"))
-    return g.shortest_paths(both, START).filter("cost <= 40").select("id", F.round("cost", 6).alias("cost"))
+    return g.shortest_paths(both, START).select("id", F.round("cost", 6).alias("cost"))
 
 
 def all_paths(spark, d):
@@ -102,7 +102,7 @@ def merge(spark, d):
 def _vector_kg(spark, d):
     v = vectors(spark, d)
     e = v.select("id", F.concat(F.lit("e"), "id").alias("name"), F.col("label").cast("string").alias("type"), "embedding")
-    r = v.select(F.col("id").alias("s"), F.lit("next").alias("p"), ((F.col("id") + 1) % 500).alias("o"), F.lit(1.0).alias("weight"))
+    r = v.select(F.col("id").alias("s"), F.lit("next").alias("p"), ((F.col("id") + 1) % F.lit(v.count())).alias("o"), F.lit(1.0).alias("weight"))
     return e, r
 
 
@@ -165,20 +165,34 @@ def _pagerank(rounds: int) -> str:
     return f"WITH {', '.join(steps)} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
 
 
+def _components(rounds: int) -> str:
+    """Unrolled rounds: each node takes its neighbours' least label."""
+    steps = [f"b AS MATERIALIZED (SELECT DISTINCT src, dst FROM {BOTH}), c0 AS MATERIALIZED (SELECT id, id AS c FROM {N_})"]
+    for i in range(rounds):
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT x.id, least(x.c, coalesce(m, x.c)) AS c FROM c{i} x LEFT JOIN (SELECT dst, min(c) AS m FROM b JOIN c{i} ON b.src = id GROUP BY 1) ON dst = x.id)")
+    return f"WITH {', '.join(steps)} SELECT id, c AS component FROM c{rounds}"
+
+
+def _shortest(rounds: int) -> str:
+    """Unrolled rounds of relaxation; a path of least cost has fewer steps than these on the tables here."""
+    steps = [f"b AS MATERIALIZED (SELECT src, dst, min(weight) AS w FROM (SELECT src, dst, weight FROM {G_} UNION ALL SELECT dst, src, weight FROM {G_}) GROUP BY 1, 2), p0 AS MATERIALIZED (SELECT CAST({START} AS BIGINT) AS id, 0.0::DOUBLE AS cost)"]
+    for i in range(rounds):
+        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT id, min(cost) AS cost FROM (SELECT id, cost FROM p{i} UNION ALL SELECT dst, cost + w FROM b JOIN p{i} ON b.src = id) GROUP BY 1)")
+    return f"WITH {', '.join(steps)} SELECT id, round(cost, 6) AS cost FROM p{rounds}"
+
+
 QUERIES = {
     "nodes_by_label": (by_label, f"SELECT id FROM {N_} WHERE label = 'supplier'"),
     "degrees": (degrees, f"SELECT n.id, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree, CAST(coalesce(i, 0) + coalesce(o, 0) AS BIGINT) AS degree FROM {N_} n LEFT JOIN (SELECT dst, count(*) AS i FROM {G_} GROUP BY 1) ON dst = n.id LEFT JOIN (SELECT src, count(*) AS o FROM {G_} GROUP BY 1) ON src = n.id"),
     "neighbors": (neighbors, f"SELECT DISTINCT dst AS id FROM {BOTH} WHERE src = {START}"),
     "bfs_depth2": (bfs, _bfs(BOTH, START, 2)),
     "dfs_preorder": (dfs, None),
-    "connected_components": (components, f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {G_} WHERE dst % 11 < 3), b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-        w(id, c) AS (SELECT id, id FROM {N_} UNION SELECT b.dst, w.c FROM w JOIN b ON b.src = w.id WHERE w.c < b.dst) SELECT id, min(c) AS component FROM w GROUP BY id"""),
+    "connected_components": (components, _components(24)),
     "pagerank": (pagerank, _pagerank(10)),
     "clustering_coefficient": (clustering, f"""SELECT CAST(n.n_nationkey AS BIGINT) AS id, round(CASE WHEN k >= 2 THEN 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 9) AS coefficient FROM nation n
         LEFT JOIN (SELECT x, count(*) AS k FROM (SELECT a AS x FROM {RING} UNION ALL SELECT b FROM {RING}) GROUP BY 1) d ON d.x = n.n_nationkey
         LEFT JOIN (SELECT v, count(*) AS t FROM (SELECT unnest([p.a, p.b, q.b]) AS v FROM {RING} p JOIN {RING} q ON p.b = q.a JOIN {RING} r ON r.a = p.a AND r.b = q.b) GROUP BY 1) z ON z.v = n.n_nationkey"""),
-    "shortest_paths": (shortest, f"""WITH RECURSIVE b AS MATERIALIZED (SELECT src, dst, min(weight) AS w FROM (SELECT src, dst, weight FROM {G_} UNION ALL SELECT dst, src, weight FROM {G_}) GROUP BY 1, 2),
-        p(id, cost) AS (SELECT CAST({START} AS BIGINT), 0.0::DOUBLE UNION SELECT b.dst, p.cost + b.w FROM p JOIN b ON b.src = p.id WHERE p.cost + b.w <= 40) SELECT id, round(min(cost), 6) AS cost FROM p GROUP BY id"""),
+    "shortest_paths": (shortest, _shortest(40)),
     "all_paths": (all_paths, f"""WITH RECURSIVE b AS (SELECT DISTINCT src, dst FROM {KBOTH}), p(path, here, n) AS (SELECT [CAST(100 AS BIGINT)], CAST(100 AS BIGINT), 0 UNION ALL SELECT list_append(path, dst), dst, n + 1 FROM p JOIN b ON b.src = p.here WHERE here <> 101 AND n < 4 AND NOT list_contains(path, dst))
         SELECT array_to_string(path, '>') AS path, n AS length FROM p WHERE here = 101"""),
     "remove_nodes": (without, f"SELECT n.id, CAST(coalesce(k, 0) AS BIGINT) AS degree FROM {N_} n LEFT JOIN (SELECT src, count(*) AS k FROM {BOTH} WHERE src NOT BETWEEN 1 AND 10 AND dst NOT BETWEEN 1 AND 10 GROUP BY 1) ON src = n.id WHERE n.id NOT BETWEEN 1 AND 10"),
@@ -191,10 +205,10 @@ QUERIES = {
     "kg_stats": (kg_stats, f"SELECT * FROM (SELECT count(*) AS entities, count(DISTINCT type) AS types FROM {E_}), (SELECT count(*) AS relations, count(DISTINCT p) AS predicates FROM {R_})"),
     "merge_entities": (merge, f"SELECT o, count(*) AS n FROM (SELECT DISTINCT CASE WHEN s = 101 THEN 100 ELSE s END AS s, p, CASE WHEN o = 101 THEN 100 ELSE o END AS o, weight FROM {R_}) GROUP BY o"),
     "similar_entities": (similar, f"SELECT vec_id AS id, round(1 - d, 6) AS score FROM (SELECT vec_id, {dist('cosine')} AS d FROM embeddings WHERE label = 3 AND (vec_id IN (SELECT vec_id FROM embeddings))) ORDER BY d, vec_id LIMIT 10"),
-    "predict_links": (predict, f"""WITH r AS (SELECT vec_id AS s, (vec_id + 1) % 500 AS o FROM embeddings), b AS (SELECT DISTINCT s AS src, o AS dst FROM r UNION SELECT o, s FROM r), m AS (SELECT dst FROM b WHERE src = 0),
+    "predict_links": (predict, f"""WITH r AS (SELECT vec_id AS s, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS o FROM embeddings), b AS (SELECT DISTINCT s AS src, o AS dst FROM r UNION SELECT o, s FROM r), m AS (SELECT dst FROM b WHERE src = 0),
         x AS (SELECT vec_id, 1 - {dist('cosine')} AS c, (SELECT count(*) FROM b WHERE b.src = vec_id AND b.dst IN (SELECT dst FROM m)) AS k FROM embeddings WHERE vec_id <> 0 AND vec_id NOT IN (SELECT dst FROM m))
         SELECT vec_id AS id, round(least(1.0, c + least(0.2, 0.1 * k)), 6) AS score FROM x WHERE c >= 0.1 ORDER BY least(1.0, c + least(0.2, 0.1 * k)) DESC, vec_id LIMIT 10"""),
-    "graph_expansion": (expansion, f"""WITH h AS ({hits(Q0, 20)}), r AS (SELECT vec_id AS s, (vec_id + 1) % 500 AS o FROM embeddings), k AS (SELECT x, count(*) AS n FROM (SELECT s AS x FROM r UNION ALL SELECT o FROM r) GROUP BY 1),
+    "graph_expansion": (expansion, f"""WITH h AS ({hits(Q0, 20)}), r AS (SELECT vec_id AS s, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS o FROM embeddings), k AS (SELECT x, count(*) AS n FROM (SELECT s AS x FROM r UNION ALL SELECT o FROM r) GROUP BY 1),
         m AS (SELECT h.id, 0.7::DOUBLE * (1 - d / (SELECT max(d) FROM h)) + 0.3::DOUBLE * least(coalesce(n, 0) / 10.0::DOUBLE, 1.0) AS s FROM h LEFT JOIN k ON k.x = h.id) SELECT id, round(s, 6) AS score FROM m ORDER BY s DESC, id LIMIT 10"""),
     "edges_at_time": (state_at, f"SELECT s, o FROM ({TEMPORAL}) WHERE f <= TIMESTAMP '1996-06-01' AND (t IS NULL OR t > TIMESTAMP '1996-06-01')"),
     "edges_between": (valid_between, f"SELECT s, o FROM ({TEMPORAL}) WHERE f < TIMESTAMP '1996-07-01' AND (t IS NULL OR t > TIMESTAMP '1996-06-01')"),

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import bloom
-from skein.operators import ann, graph, knn, memory, quant
+from skein.operators import ann, graph, knn, memory
 from skein.queries.common import RELATIONS_SQL, relations, table, vectors
 from skein.queries.graphs import _vector_kg
 from skein.queries.search import Q0, dist, hits, q0
-from skein.queries.vectors import _searches
 from skein.sources import collections as c
 
 
@@ -51,18 +50,6 @@ def extracted_scores(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.round(memory.extracted_score(F.col("text")), 6).alias("score"))
 
 
-def sq8_recall(spark, d):
-    v = vectors(spark, d)
-    book = quant.train(v)
-    coded = v.withColumn("codes", quant.encode(F.col("embedding"), book))
-    return _searches(spark, d, lambda _, q: ann.sq8_search(coded, book, q, 10, 50))
-
-
-def rotated_recall(spark, d):
-    coded = vectors(spark, d).withColumn("code", ann.rotated_codes(F.col("embedding"), 64))
-    return _searches(spark, d, lambda _, q: ann.rotated_search(coded, q, 10))
-
-
 def token_set_encoding(spark, d):
     """Unit vectors of 320 components out of ten token vectors each."""
     sets = vectors(spark, d).groupBy((F.col("id") % 50).alias("doc_id")).agg(F.collect_list("embedding").alias("tokens"))
@@ -104,10 +91,8 @@ QUERIES = {
     "similarity_join": (similarity_join, f"SELECT a.vec_id AS a, b.vec_id AS b, round({dist('cosine', 'a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {dist('cosine', 'a.embedding::DOUBLE[]', 'b.embedding::DOUBLE[]')} <= 0.6"),
     "similar_memories": (similar_memories, f"SELECT a, b, round(max(s), 6) AS similarity FROM (SELECT least(q, id) AS a, greatest(q, id) AS b, 1 - d / 2 AS s FROM ({NEAR})) WHERE s >= 0.6 GROUP BY a, b"),
     "extracted_scores": (extracted_scores, None),
-    "sq8_recall": (sq8_recall, None),
-    "rotated_recall": (rotated_recall, None),
     "token_set_encoding": (token_set_encoding, "SELECT DISTINCT vec_id % 50 AS doc_id, 320 AS n, 1.0::DOUBLE AS norm FROM embeddings"),
-    "context_search": (context_search, f"SELECT vec_id AS id, 'next' AS p, (vec_id + 1) % 500 AS o, round(1 - d, 6) AS score FROM (SELECT vec_id, {dist('cosine')} AS d FROM embeddings WHERE vec_id % 3 = 1) WHERE 1 - d >= 0.2"),
+    "context_search": (context_search, f"SELECT vec_id AS id, 'next' AS p, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS o, round(1 - d, 6) AS score FROM (SELECT vec_id, {dist('cosine')} AS d FROM embeddings WHERE vec_id % 3 = 1) WHERE 1 - d >= 0.2"),
     "entity_expansion": (entity_expansion, f"SELECT DISTINCT h.id, r.s, r.p, r.o FROM ({hits(Q0, 10)}) h JOIN embeddings e ON e.vec_id = h.id JOIN ({RELATIONS_SQL}) r ON r.s = e.label + 100 OR r.o = e.label + 100"),
     "kg_predicates": (types("p"), f"SELECT DISTINCT p FROM ({RELATIONS_SQL})"),
     "kg_entity_types": (types("type"), "SELECT unnest(['region', 'nation', 'supplier']) AS type"),

@@ -22,7 +22,7 @@ def token_counts(spark, d):
 
 
 def doc_freq(spark, d):
-    return ts.doc_freq(docs(spark, d)).filter("df > 5")
+    return ts.doc_freq(docs(spark, d))
 
 
 def bm25_top(spark, d):
@@ -76,7 +76,7 @@ W8 = "CASE l_partkey " + " ".join(f"WHEN {k} THEN {w}::DOUBLE" for k, w in QUERY
 SPARSE = f"SELECT l_orderkey AS id, sum(l_quantity * {W8}) AS s FROM lineitem WHERE l_partkey IN ({', '.join(map(str, QUERY))}) GROUP BY 1"
 QUERIES = {
     "token_counts": (token_counts, f"SELECT doc_id, CAST(len(t) AS INT) AS n, CAST(len(list_distinct(t)) AS INT) AS n_distinct, CAST(len(list_filter(t, lambda x: x NOT IN ({STOPS}))) AS INT) AS n_content FROM (SELECT doc_id, {T} AS t FROM documents)"),
-    "doc_freq": (doc_freq, f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({T})) AS term FROM documents) GROUP BY 1 HAVING count(*) > 5"),
+    "doc_freq": (doc_freq, f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({T})) AS term FROM documents) GROUP BY 1"),
     "bm25_top10": (bm25_top, f"SELECT id AS doc_id, round(s, 6) AS score FROM ({bm25_sql(['the', 'of', 'thanthe', 'onre'], 10)})"),
     "bm25_repeated_term": (bm25_all, f"""SELECT id AS doc_id, round(2 * coalesce(a, 0) + coalesce(b, 0), 6) AS score FROM (SELECT coalesce(x.id, y.id) AS id, x.s AS a, y.s AS b FROM ({bm25_sql(['and'], None)}) x FULL JOIN ({bm25_sql(['ering'], None)}) y ON x.id = y.id)"""),
     "bm25_after_removal": (bm25_without, "WITH documents AS (SELECT * FROM main.documents WHERE doc_id % 7 <> 0) SELECT id AS doc_id, round(s, 6) AS score FROM (" + bm25_sql(["the", "of"], 20) + ")"),

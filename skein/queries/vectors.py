@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.functions.distance import distance
-from skein.operators import ann, knn, quant
+from skein.operators import ann, ann_batch, knn, quant
 from skein.plans import planner
 from skein.queries.common import scaled, vectors
 from skein.queries.search import SCALED, q0
+from skein.queries.search import dist as DIST
 
 
 def quant_train(spark, d):
@@ -35,42 +36,74 @@ def ternary(spark, d):
     return vectors(spark, d).select("id", F.size(F.filter(t, lambda x: x == 1)).alias("up"), F.size(F.filter(t, lambda x: x == -1)).alias("down"))
 
 
-def _recall(found, exact):
-    """(recall) of (query_id, id) against the exact neighbours."""
-    hit = found.join(exact, ["query_id", "id"], "left_semi").agg(F.count(F.lit(1)).alias("h"))
-    return hit.crossJoin(exact.agg(F.count(F.lit(1)).alias("n"))).select((F.col("h") / F.col("n")).alias("recall"))  # one row each
+def stated(spark, d):
+    """(vectors, ids) of the query rows: those whose id 20 divides."""
+    rows = vectors(spark, d).filter("id % 20 = 0").orderBy("id").select("id", "embedding").collect()
+    return np.array([r["embedding"] for r in rows], float), [r["id"] for r in rows]
 
 
-def _searches(spark, d, one):
+#: Index families at their own settings: lists probed, codes, and rows reranked by exact distance.
+FAMILIES = {
+    "ivf": (lambda v: ann_batch.inverted(v, 64, 24), 10),
+    "ivf_pq": (lambda v: ann_batch.inverted(v, 64, 24, lambda x, centres: ann_batch.product(x, 16, 64, centres)), 60),
+    "ivf_sq8": (lambda v: ann_batch.inverted(v, 64, 24, lambda x, _: ann_batch.scalar(x)), 20),
+    "ivf_rotated": (lambda v: ann_batch.inverted(v, 64, 24, lambda x, _: ann_batch.rotated(x)), 40),
+    "pq": (lambda v: ann_batch.product(v, 16, 64), 60),
+    "sq8": (lambda v: ann_batch.scalar(v), 20),
+    "rotated": (lambda v: ann_batch.rotated(v), 40),
+    "lsh": (lambda v: ann_batch.hashed(v, 32, 6), 10),
+}
+
+
+def measured(spark, d, family):
+    """(recall, share of rows let pass) of a family's ten nearest against the exact ones, over all stated queries."""
     v = vectors(spark, d)
-    out = exact = None
-    for i in (0, 20, 40, 60, 80):
-        q = knn.vector_of(v, i)
-        a = one(v, q).select(F.lit(i).alias("query_id"), "id")
-        b = knn.topk(v, q, 10, "euclidean").select(F.lit(i).alias("query_id"), "id")
-        out, exact = (a, b) if out is None else (out.union(a), exact.union(b))
-    return _recall(out, exact)
+    make, keep = FAMILIES[family]
+    index, (q, ids) = make(v), stated(spark, d)
+    found = ann_batch.search(index, q, ids, 10, keep)
+    exact = knn.batch_topk(v, q, ids, 10, "euclidean").select("query_id", "id")
+    hit = found.join(exact, ["query_id", "id"], "left_semi").count()
+    return hit / exact.count(), ann_batch.scanned(index, q, ids).agg(F.sum("rows")).first()[0] / (len(ids) * v.count())
 
 
-def ivf_recall(spark, d):
-    index = ann.InvertedLists.build(vectors(spark, d), 16)
-    return _searches(spark, d, lambda v, q: index.search(q, 10, nprobe=12))
+def search_found(family):
+    """How many neighbours a family gives its queries, and that none is given twice or at a wrong distance; tests hold its recall."""
 
+    def run(spark, d):
+        v = vectors(spark, d)
+        make, keep = FAMILIES[family]
+        q, ids = stated(spark, d)
+        found = ann_batch.search(make(v), q, ids, 10, keep)
+        pairs = found.join(v.select("id", "embedding"), "id").join(v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+        right = F.abs(distance("euclidean", F.col("embedding"), F.col("query")) - F.col("distance")) < 1e-6
+        return pairs.groupBy("query_id").agg(F.countDistinct("id").alias("n"), F.bool_and(right).alias("right"), F.min("distance").alias("nearest")).select("query_id", "n", "right", F.round("nearest", 6).alias("nearest"))
 
-def ivf_border_recall(spark, d):
-    index = ann.InvertedLists.build(vectors(spark, d), 16, border=1.1)
-    return _searches(spark, d, lambda v, q: index.search(q, 10, nprobe=10))
+    return run, "SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings)) AS n, true AS right, 0.0::DOUBLE AS nearest FROM embeddings WHERE vec_id % 20 = 0"
 
 
-def pq_recall(spark, d):
+def pq_within(spark, d):
+    """Range search through codes: the slack is more than any coding error here, so it is exact."""
     v = vectors(spark, d)
-    books = ann.pq_train(ann.sample_vectors(v), 16, 32)
-    coded = v.withColumn("codes", ann.pq_encode(F.col("embedding"), books))
-    return _searches(spark, d, lambda _, q: ann.pq_search(coded, books, q, 10, 150))
+    q, ids = stated(spark, d)
+    found = ann_batch.within(ann_batch.product(v, 16, 64), q, ids, 0.9, 1.2)
+    return found.select("query_id", "id", F.round("distance", 6).alias("distance"))
+
 
+def lsh_within(spark, d):
+    """Range search in shared buckets, of copies: equal vectors share all of them."""
+    v = vectors(spark, d).select("id", "embedding")
+    both = v.union(v.select(F.col("id") + 100_000, "embedding"))
+    q, ids = stated(spark, d)
+    return ann_batch.within(ann_batch.hashed(both), q, ids, 1e-5).select("query_id", "id")
 
-def lsh_recall(spark, d):
-    return _searches(spark, d, lambda v, q: ann.lsh_search(v, q, 10, tables=32, bits=4))
+
+def code_pairs(spark, d):
+    """Distances between codes of rows and their successors."""
+    v = vectors(spark, d)
+    book = quant.train(v)
+    coded = v.select("id", quant.encode(F.col("embedding"), book).alias("a"))
+    met = coded.join(coded.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    return met.select("id", F.round(quant.code_code_distance(F.col("a"), F.col("b"), book), 6).alias("distance"))
 
 
 def lsh_pairs(spark, d):
@@ -105,10 +138,11 @@ QUERIES = {
         c AS (SELECT vec_id, x, lo, hi, floor((x - lo) / (hi - lo) * 255 + 0.5) AS code FROM e JOIN b USING (i)) SELECT vec_id AS id, CAST(sum(code) AS INT) AS code_sum, max(abs(x - (lo + (hi - lo) * code / 255))) < 0.005 AS close FROM c GROUP BY vec_id"""),
     "binary_hamming": (binary_hamming, "SELECT vec_id AS id, CAST(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda t: CASE WHEN (t[1] > 0) <> (t[2] > 0) THEN 1 ELSE 0 END)) AS INT) AS bits FROM embeddings"),
     "ternary": (ternary, "SELECT vec_id AS id, CAST(len(list_filter(embedding, lambda x: x::DOUBLE > 0.1::DOUBLE)) AS INT) AS up, CAST(len(list_filter(embedding, lambda x: x::DOUBLE < -0.1::DOUBLE)) AS INT) AS down FROM embeddings"),
-    "ivf_recall": (ivf_recall, None),
-    "ivf_border_recall": (ivf_border_recall, None),
-    "pq_recall": (pq_recall, None),
-    "lsh_recall": (lsh_recall, None),
+    **{f"{family}_search": search_found(family) for family in FAMILIES},
+    "pq_within": (pq_within, f"SELECT q.vec_id AS query_id, e.vec_id AS id, round({DIST('euclidean', 'e.embedding::DOUBLE[]', 'q.embedding::DOUBLE[]')}, 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {DIST('euclidean', 'e.embedding::DOUBLE[]', 'q.embedding::DOUBLE[]')} <= 0.9"),
+    "lsh_within": (lsh_within, "SELECT q.vec_id AS query_id, unnest([q.vec_id, q.vec_id + 100000]) AS id FROM embeddings q WHERE q.vec_id % 20 = 0"),
+    "code_pair_distance": (code_pairs, """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT i, min(x) AS lo, max(x) AS hi FROM e GROUP BY i),
+        c AS (SELECT vec_id, i, lo + (hi - lo) * floor((x - lo) / (hi - lo) * 255 + 0.5) / 255 AS y FROM e JOIN b USING (i)) SELECT a.vec_id AS id, round(sqrt(sum((a.y - z.y) * (a.y - z.y))), 6) AS distance FROM c a JOIN c z ON z.vec_id = a.vec_id + 1 AND z.i = a.i GROUP BY 1"""),
     "lsh_pairs": (lsh_pairs, "SELECT vec_id AS a, vec_id + 100000 AS b FROM embeddings WHERE vec_id % 25 = 0"),
     "dedup_first_wins": (dedup_first_wins, "SELECT vec_id AS id FROM embeddings"),
     "planner_table": (plan_table, None),

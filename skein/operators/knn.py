@@ -51,7 +51,7 @@ def topk_threshold(df: DataFrame, query: Vector, k: int, threshold: float, metri
     return topk(df, query, k, metric, None, id_col).filter(F.col("distance") <= threshold)
 
 
-def batch_topk(df: DataFrame, queries: np.ndarray, query_ids: Sequence[int], k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", block: int = 1024) -> DataFrame:
+def batch_topk(df: DataFrame, queries: np.ndarray, query_ids: Sequence[int], k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", block: int = 8192) -> DataFrame:
     """(query_id, id, distance, rank) of every query's k nearest rows.
 
     Queries (a driver-side array, so bounded) meet rows in blocks of vectors; a partition hands on k rows a
@@ -75,10 +75,19 @@ def batch_topk(df: DataFrame, queries: np.ndarray, query_ids: Sequence[int], k:
                 x = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 for a in range(0, len(q), 256):
-                    d = np.concatenate([top_d[a : a + 256], matrix(metric, q[a : a + 256], x)], axis=1)
-                    i = np.concatenate([top_i[a : a + 256], np.broadcast_to(ids, (len(d), len(ids)))], axis=1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    top_d[a : a + 256], top_i[a : a + 256] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                    d, had, who = matrix(metric, q[a : a + 256], x), top_d[a : a + 256], top_i[a : a + 256]
+                    bound = had[:, -1]
+                    if len(ids) > k and np.isinf(bound).any():
+                        bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
+                    r, c = np.nonzero(d <= bound[:, None])  # the few rows that may enter
+                    if not len(r):
+                        continue
+                    n = len(had)
+                    row, dist = np.append(np.repeat(np.arange(n), k), r), np.append(had.ravel(), d[r, c])
+                    name = np.append(who.ravel(), ids[c])
+                    order = np.lexsort((name, dist, row))
+                    best_ = order[np.searchsorted(row[order], np.arange(n))[:, None] + np.arange(k)]
+                    top_d[a : a + 256], top_i[a : a + 256] = dist[best_], name[best_]
         r, c = np.nonzero(np.isfinite(top_d))
         yield pa.RecordBatch.from_pydict({"query_id": pa.array(qid[r]), "id": pa.array(top_i[r, c]), "distance": pa.array(top_d[r, c])})
 

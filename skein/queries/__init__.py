@@ -10,9 +10,9 @@ Query = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
 def catalog() -> dict[str, Query]:
-    from skein.queries import graphs, more, predicates, ranking, search, tables, text, vectors
+    from skein.queries import graphs, more, predicates, ranking, search, stores, tables, text, vectors
 
     found: dict[str, Query] = {}
-    for module in (search, predicates, ranking, text, graphs, tables, vectors, more):
+    for module in (search, predicates, ranking, text, graphs, tables, vectors, more, stores):
         found |= module.QUERIES
     return found

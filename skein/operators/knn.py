@@ -25,7 +25,8 @@ def vector_of(df: DataFrame, key: int, id_col: str = "id", vec_col: str = "embed
 
 
 def with_distance(df: DataFrame, query: Vector, metric: str = "cosine", vec_col: str = "embedding") -> DataFrame:
-    return df.withColumn("distance", distance_to(metric, vec_col, query))
+    # A generator of one row: a filter above reads the distance instead of computing it anew, in code that is too deep to compile.
+    return df.withColumn("distance", F.explode(F.array(distance_to(metric, vec_col, query))))
 
 
 def topk(df: DataFrame, query: Vector, k: int, metric: str = "cosine", where: Column | None = None, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import once, stem, stem_all, tokens
@@ -95,6 +95,57 @@ def phrase_search(docs: DataFrame, phrase: str, k: int | None = None, language:
     return found.orderBy(F.desc("score"), "doc_id").limit(k) if k else found
 
 
+class Postings:
+    """An inverted index in Parquet: a search reads the postings of its own terms, not the texts.
+
+    Rows (term, doc_id, doc_len, positions) are range-partitioned and sorted by term and doc_id, so a filter on
+    terms prunes files and row groups, and a term of a third of all documents is spread over many files. The
+    corpus's size and mean length lie beside them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.rows, self.stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+    @staticmethod
+    def build(docs: DataFrame, path: str, doc_col: str = "doc_id", text_col: str = "text") -> "Postings":
+        """Index docs; a null text has no terms and still counts as a document."""
+        each = docs.select(F.col(doc_col).alias("doc_id"), once(tokens(F.col(text_col))).alias("t"))
+        words = each.select("doc_id", F.size("t").alias("doc_len"), F.posexplode("t").alias("pos", "term"))
+        rows = words.groupBy("term", "doc_id", "doc_len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        keys = ("term", "doc_id")
+        rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{path}/postings")
+        corpus_stats(docs, text_col).write.mode("overwrite").parquet(f"{path}/stats")
+        return Postings(docs.sparkSession, path)
+
+    def _scored(self, terms: Sequence[str]) -> DataFrame:
+        hit = self.rows.filter(F.col("term").isin(*set(terms))).select("term", "doc_id", "doc_len", F.size("positions").alias("tf"))
+        counts = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row a query term
+        met = hit.join(F.broadcast(counts), "term").crossJoin(F.broadcast(self.stats))  # stats is one row
+        weight = F.element_at(F.create_map(*(F.lit(x) for t in set(terms) for x in (t, terms.count(t)))), F.col("term"))
+        score = weight * term_score(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("n_docs"), F.col("avg_len"))
+        return met.groupBy("doc_id").agg(F.sum(score).alias("score")).filter("score > 0")
+
+    def search(self, query: str, k: int) -> DataFrame:
+        """(doc_id, score) of the k best documents by BM25."""
+        terms = query_terms(query)
+        if not terms:
+            raise ValueError("the query has no terms")
+        return self._scored(terms).orderBy(F.desc("score"), "doc_id").limit(k)
+
+    def phrase(self, phrase: str, k: int | None = None) -> DataFrame:
+        """(doc_id, score, positions) of documents that hold the terms one after another, as phrase_search gives them."""
+        words = query_terms_all(phrase)
+        if not words:
+            raise ValueError("the phrase has no terms")
+        at = self.rows.filter(F.col("term").isin(*set(words))).select("doc_id", "term", F.explode("positions").alias("pos"))
+        places = F.create_map(*(x for w in set(words) for x in (F.lit(w), F.array(*(F.lit(i) for i, v in enumerate(words) if v == w)))))
+        begins = at.select("doc_id", "pos", F.explode(F.element_at(places, F.col("term"))).alias("place")).select("doc_id", (F.col("pos") - F.col("place")).alias("start"))
+        whole = begins.groupBy("doc_id", "start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(words))
+        hits = whole.groupBy("doc_id").agg(F.sort_array(F.collect_list("start")).alias("positions"))
+        found = hits.join(self._scored(words), "doc_id").select("doc_id", "score", "positions")
+        return found.orderBy(F.desc("score"), "doc_id").limit(k) if k else found
+
+
 def query_terms_all(phrase: str) -> list[str]:
     import re
 

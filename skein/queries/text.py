@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import STOP_WORDS, stem_all, tokens
 from skein.operators import text_search as ts
+from skein.plans.storage import fresh_path
 from skein.queries.common import table
 from skein.queries.ranking import TOK, bm25_sql
 
@@ -50,6 +51,19 @@ def phrase_stemmed(spark, d):
     return ts.phrase_search(docs(spark, d), "of the", 50, language="en").select("doc_id", F.size("positions").alias("n"), F.round("score", 6).alias("score"))
 
 
+def _index(spark, d):
+    return ts.Postings.build(docs(spark, d), fresh_path(spark, "postings"))
+
+
+def bm25_indexed(spark, d):
+    """The same search over written postings: only those of its terms are read."""
+    return _index(spark, d).search("the of thanthe onre", 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def phrase_indexed(spark, d):
+    return _index(spark, d).phrase(PHRASE).select("doc_id", F.size("positions").alias("n"), F.round("score", 6).alias("score"))
+
+
 def stems(spark, d):
     each = docs(spark, d).filter("lang = 'en'").select(F.explode(stem_all("en")(tokens(F.col("text")))).alias("stem"))
     return each.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
@@ -83,6 +97,9 @@ QUERIES = {
     "index_stats": (index_stats, f"SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT round(avg(len({T})), 6) FROM documents) AS avg_len FROM (SELECT unnest(list_distinct({T})) AS term FROM documents)"),
     "phrase_search": (phrase, f"""SELECT doc_id, CAST(n AS INT) AS n, round(s, 6) AS score FROM (SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS n FROM (SELECT doc_id, {T} AS t FROM documents)) p
         JOIN ({bm25_sql(['of', 'the'], None)}) b ON b.id = p.doc_id WHERE n > 0"""),
+    "bm25_postings": (bm25_indexed, f"SELECT id AS doc_id, round(s, 6) AS score FROM ({bm25_sql(['the', 'of', 'thanthe', 'onre'], 10)})"),
+    "phrase_postings": (phrase_indexed, f"""SELECT doc_id, CAST(n AS INT) AS n, round(s, 6) AS score FROM (SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS n FROM (SELECT doc_id, {T} AS t FROM documents)) p
+        JOIN ({bm25_sql(['of', 'the'], None)}) b ON b.id = p.doc_id WHERE n > 0"""),
     "phrase_search_stemmed": (phrase_stemmed, None),
     "stem_counts": (stems, None),
     "sparse_dot_topk": (sparse_dot, f"SELECT id, round(s, 6) AS score FROM ({SPARSE}) ORDER BY s DESC, id LIMIT 20"),

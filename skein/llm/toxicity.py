@@ -33,6 +33,8 @@ EXAMPLES = 4000
 #: Examples that a word needs; and toxic examples, log-likelihood ratio, and share of toxic ones among equally many of both, that a beginning needs.
 LEAST_EXAMPLES, LEAST_TOXIC, LEAST_RATIO, LEAST_SHARE = 2, 4, 16.0, 0.9
 NEIGHBOURS, BLOCK = 16, 512
+#: Terms that are held as dense rows, at most: the commonest, of more than a sixteenth of the examples.
+DENSE = 256
 THRESHOLD = 0.7
 #: Different words that a process remembers; then it starts anew. Characters read at once.
 CACHE_WORDS, CHUNK_CHARS = 600_000, 1 << 21
@@ -186,21 +188,60 @@ class BlockMaxIndex:
         at = spans(starts[terms], counts)
         return np.bincount(rows[at], weights=held[at] * np.repeat(weights, counts), minlength=size)
 
+    def _prepare(self) -> None:
+        """In each process: the commonest terms as dense rows, all postings of the others, and the examples' blocks."""
+        of = [(np.repeat(np.arange(self.terms), np.diff(starts)), rows + b * BLOCK, weights) for b, (starts, rows, weights) in enumerate(self.blocks)]
+        terms, rows, weights = (np.concatenate([x[i] for x in of]) for i in range(3))
+        counts = np.bincount(terms, minlength=self.terms)
+        common = np.flatnonzero(counts > len(self.order) / 16)
+        common = np.sort(common[np.argsort(-counts[common], kind="stable")[:DENSE]])
+        self.column = np.full(self.terms, -1)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[terms] >= 0
+        self.dense = np.zeros((len(common), len(self.order)))
+        self.dense[self.column[terms[dense]], rows[dense]] = weights[dense]
+        self.rare = self._postings(terms[~dense], rows[~dense], weights[~dense])
+        self.starts = np.arange(0, len(self.order), BLOCK)
+
+    def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each query. The part of the commonest terms is a product of matrices; the others' block bounds decide what else is read."""
+        if not self.blocks:
+            yield from ((np.zeros(0), np.zeros(0, np.int64)) for _ in queries)
+            return
+        if not hasattr(self, "rare"):
+            self._prepare()
+        for at in range(0, len(queries), 128):
+            part = queries[at : at + 128]
+            lead = np.zeros((len(part), len(self.dense)))
+            for i, (terms, weights) in enumerate(part):
+                column = self.column[terms]
+                lead[i, column[column >= 0]] = weights[column >= 0]
+            base = lead @ self.dense
+            most = np.maximum.reduceat(base, self.starts, axis=1)
+            for i, (terms, weights) in enumerate(part):
+                others = self.column[terms] < 0
+                yield self._nearest(base[i], most[i], terms[others], weights[others], k)
+
+    def _nearest(self, base: np.ndarray, most: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        upper = most + self._sum(self.bounds, terms, weights, len(self.blocks))
+        first = int(upper.argmax())
+        low = first * BLOCK
+        found = base[low : low + BLOCK].copy()
+        found += self._sum(self.blocks[first], terms, weights, len(found))
+        least = max(0.0, np.partition(found, len(found) - k)[len(found) - k]) if len(found) > k else 0.0
+        open_ = upper * (1 + 1e-9) >= least
+        open_[first] = False
+        if (open_ & (upper > 0)).any():  # blocks that may enter the nearest: all of them in one pass
+            found = base + self._sum(self.rare, terms, weights, len(base))
+            low = 0
+        hit = np.flatnonzero((found >= least * (1 - 1e-9)) & (found > 1e-15))
+        scores, rows = found[hit], self.order[low + hit]
+        order = np.lexsort((self.ids[rows], -scores))[:k]
+        return scores[order], rows[order]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, examples) of the k nearest with a cosine above zero, nearest first, ties by least id: exact."""
-        scores, rows = np.zeros(0), np.zeros(0, np.int64)
-        if not self.blocks or not len(terms):
-            return scores, rows
-        upper = self._sum(self.bounds, terms, weights, len(self.blocks))
-        for b in np.argsort(-upper, kind="stable").tolist():
-            if upper[b] <= 0 or (len(scores) == k and upper[b] * (1 + 1e-9) < scores[-1]):
-                break
-            found = self._sum(self.blocks[b], terms, weights, 0)
-            hit = np.flatnonzero(found > (scores[-1] * (1 - 1e-9) if len(scores) == k else 0))
-            scores, rows = np.append(scores, found[hit]), np.append(rows, self.order[b * BLOCK + hit])
-            order = np.lexsort((self.ids[rows], -scores))[:k]
-            scores, rows = scores[order], rows[order]
-        return scores, rows
+        return next(self.nearest_all([(terms, weights)], k))
 
 
 @dataclass
@@ -216,15 +257,16 @@ class Model:
         norm = np.sqrt((v * v).sum())
         return (terms, v / norm) if norm else (terms[:0], v[:0])
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        total, near = 0.0, np.zeros(0, np.int64)
-        if self.index is not None:
-            cosines, near = self.index.nearest(*self.vector(terms, counts))
-            total = votes(cosines, near, self.index.labels)
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * total + self.offset)))), [int(self.index.ids[i]) for i in near]
-
     def scores(self, batch: pa.RecordBatch, counter: TermCounter) -> list[tuple[float, list[int]]]:
-        return [self.score(*c) for c in counter.count(batch.column("text").to_pylist())]
+        """(score, evidence) of each row of a batch."""
+        if self.index is None:
+            return [(1 / (1 + math.exp(-self.offset)), [])] * batch.num_rows
+        vectors = [self.vector(*c) for c in counter.count(batch.column("text").to_pylist())]
+        out = []
+        for cosines, near in self.index.nearest_all(vectors):
+            total = self.slope * votes(cosines, near, self.index.labels) + self.offset
+            out.append((1 / (1 + math.exp(-max(-60.0, min(60.0, total)))), self.index.ids[near].tolist()))
+        return out
 
 
 def votes(cosines: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> float:
@@ -338,8 +380,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     half, x = np.arange(len(ids)) % 2, np.zeros(len(ids))
     for side in (0, 1):
         index = BlockMaxIndex([v for v, h in zip(vectors, half) if h == side], toxic[half == side], ids[half == side], len(vocabulary))
-        for i in np.flatnonzero(half != side):
-            x[i] = votes(*index.nearest(*vectors[i]), index.labels)
+        rest = np.flatnonzero(half != side)
+        for i, near in zip(rest.tolist(), index.nearest_all([vectors[i] for i in rest])):
+            x[i] = votes(*near, index.labels)
     model.slope, model.offset = calibrate(x, toxic, prior)
     model.index = BlockMaxIndex(vectors, toxic, ids, len(vocabulary))
     model.index.vectors = []  # the postings have them

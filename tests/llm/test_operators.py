@@ -12,6 +12,7 @@ from oracle import connect, differences
 from pyspark.sql import functions as F
 
 from skein.llm import bitpack, catalog, cuckoo, html_extract, licences, line_dedup, mixing, packing, pq_dedup, simhash, tokens, toxicity
+from skein.plans import storage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, component_id string, size string"
 
@@ -616,6 +617,19 @@ def test_default_recall_on_clusters(spark, dim):
     assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and (got == want).mean() > 0.95
 
 
+def test_vectors_are_written_once(spark):
+    """However many lists a vector's search probes, no table has rows for each of them."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 8))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    with storage.collected() as made:
+        assert pq_dedup.near_duplicates(d, lists=40, margin=1.0).count() == 2000
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(made[0])
+    there = [p for p in made if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    vectors = [spark.read.parquet(p) for p in there]
+    assert all(t.count() <= 2000 for t in vectors if {"embedding", "vector"} & set(t.columns))
+
+
 def brute_components(hit):
     label = np.arange(len(hit))
     while True:

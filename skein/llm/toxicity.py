@@ -22,8 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.tokens import CLASSES, LETTER, LOOKED_UP, MASKS, LatinWords, WordTable, latin_bytes, spans
-from skein.llm.worker import lean, small_batches
+from skein.llm.tokens import CLASSES, LETTER, LOOKED_UP, MASKS, LatinWords, WordTable, forget, latin_bytes, spans
+from skein.llm.worker import lean, small_batches, trim
 from skein.plans.storage import settle
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -150,6 +150,12 @@ class TermCounter:
                 yield places, np.bincount(back, weights=counts[row], minlength=len(places))
 
 
+def fresh_counter(vocabulary: np.ndarray) -> TermCounter:
+    """A task's counter, in a worker that needn't hold the tokenizer of another stage beside the model."""
+    forget()
+    return TermCounter(vocabulary)
+
+
 @dataclass
 class BlockMaxIndex:
     """Unit vectors of examples by term, in blocks of `BLOCK` examples that share their heaviest terms."""
@@ -158,7 +164,7 @@ class BlockMaxIndex:
     labels: np.ndarray
     ids: np.ndarray
     terms: int
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # where a term's postings start; their examples and weights
+    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # where a term's postings start; their examples and weights; without the commonest terms, which are dense rows
     bounds: tuple[np.ndarray, np.ndarray, np.ndarray] = field(default_factory=tuple)  # the same, of blocks and greatest weights
     order: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
@@ -166,13 +172,24 @@ class BlockMaxIndex:
         held = [i for i, (t, _) in enumerate(self.vectors) if len(t)]
         held.sort(key=lambda i: (-1 if not len(self.vectors[i][0]) else int(self.vectors[i][0][self.vectors[i][1].argmax()]), self.ids[i]))
         self.order = np.asarray(held, np.int64)
+        blocks = [[self.vectors[i] for i in held[b : b + BLOCK]] for b in range(0, len(held), BLOCK)]
+        counts = np.zeros(self.terms, np.int64)
+        for part in blocks:
+            counts += np.bincount(np.concatenate([t for t, _ in part]), minlength=self.terms)
+        common = np.flatnonzero(counts > len(held) / 16)
+        common = np.sort(common[np.argsort(-counts[common], kind="stable")[:DENSE]])
+        self.column = np.full(self.terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(held)))
         most: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for b in range(0, len(held), BLOCK):
-            part = [self.vectors[i] for i in held[b : b + BLOCK]]
-            posts = self._postings(np.concatenate([t for t, _ in part]), np.repeat(np.arange(len(part)), [len(t) for t, _ in part]), np.concatenate([w for _, w in part]))
+        for b, part in enumerate(blocks):
+            terms, rows, weights = np.concatenate([t for t, _ in part]), np.repeat(np.arange(len(part)), [len(t) for t, _ in part]), np.concatenate([w for _, w in part])
+            rare = self.column[terms] < 0
+            self.dense[self.column[terms[~rare]], b * BLOCK + rows[~rare]] = weights[~rare]
+            posts = self._postings(terms[rare], rows[rare], weights[rare])
             self.blocks.append(posts)
             some = np.flatnonzero(np.diff(posts[0]))
-            most.append((some, np.full(len(some), b // BLOCK), np.maximum.reduceat(posts[2], posts[0][some])))
+            most.append((some, np.full(len(some), b), np.maximum.reduceat(posts[2], posts[0][some]) if len(some) else posts[2]))
         if most:
             self.bounds = self._postings(*(np.concatenate([m[i] for m in most]) for i in range(3)))
 
@@ -189,18 +206,15 @@ class BlockMaxIndex:
         return np.bincount(rows[at], weights=held[at] * np.repeat(weights, counts), minlength=size)
 
     def _prepare(self) -> None:
-        """In each process: the commonest terms as dense rows, all postings of the others, and the examples' blocks."""
-        of = [(np.repeat(np.arange(self.terms), np.diff(starts)), rows + b * BLOCK, weights) for b, (starts, rows, weights) in enumerate(self.blocks)]
-        terms, rows, weights = (np.concatenate([x[i] for x in of]) for i in range(3))
-        counts = np.bincount(terms, minlength=self.terms)
-        common = np.flatnonzero(counts > len(self.order) / 16)
-        common = np.sort(common[np.argsort(-counts[common], kind="stable")[:DENSE]])
-        self.column = np.full(self.terms, -1)
-        self.column[common] = np.arange(len(common))
-        dense = self.column[terms] >= 0
-        self.dense = np.zeros((len(common), len(self.order)))
-        self.dense[self.column[terms[dense]], rows[dense]] = weights[dense]
-        self.rare = self._postings(terms[~dense], rows[~dense], weights[~dense])
+        """In each process: the rarer terms' postings over all blocks, filled block by block, as copies of them all don't fit beside."""
+        starts = np.sum([posts[0] for posts in self.blocks], axis=0, dtype=np.int64).astype(np.int32)
+        rows, weights, at = np.empty(int(starts[-1]), np.int32), np.empty(int(starts[-1])), starts[:-1].copy()
+        for b, (own, own_rows, own_weights) in enumerate(self.blocks):
+            counts = np.diff(own)
+            places = spans(at, counts)
+            rows[places], weights[places] = own_rows + np.int32(b * BLOCK), own_weights
+            at += counts
+        self.rare = starts, rows, weights
         self.starts = np.arange(0, len(self.order), BLOCK)
 
     def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -353,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     vocabulary, ratios = select_terms(sample, size[1], size[0])
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, total, n = TermCounter(vocabulary), np.zeros(len(vocabulary), np.int64), 0
+        counter, total, n = fresh_counter(vocabulary), np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             n += batch.num_rows
             for terms, _ in counter.count(batch.column("text").to_pylist()):
@@ -397,10 +411,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(model.vocabulary)
+        counter = fresh_counter(model.vocabulary)
         for batch in batches:
             found = model.scores(batch, counter)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array([s for s, _ in found], pa.float64()), "evidence": pa.array([e for _, e in found], pa.list_(pa.int64()))})
+            trim()
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
@@ -410,8 +425,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     """The rows of docs, all columns, whose score is below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(model.vocabulary)
+        counter = fresh_counter(model.vocabulary)
         for batch in batches:
             yield batch.filter(pa.array([s < threshold for s, _ in model.scores(batch, counter)], pa.bool_()))
+            trim()
 
     return docs.mapInArrow(lean(run), docs.schema)

@@ -475,6 +475,22 @@ def test_block_max_search_is_exact(monkeypatch):
         assert np.allclose(got, [-c for c, _ in want]) and np.allclose(cosines[rows], got)
 
 
+def test_a_model_holds_each_posting_once():
+    """Common terms are dense rows and no postings, and a worker that scores lets the tokenizer go."""
+    rng = np.random.default_rng(2)
+    vectors = [(np.unique(np.append(rng.integers(0, 500, 20), [3, 4])), None) for _ in range(900)]
+    vectors = [(t, rng.random(len(t))) for t, _ in vectors]
+    index = toxicity.BlockMaxIndex(vectors, np.arange(900) % 2, np.arange(900), 500)
+    common = np.flatnonzero(index.column >= 0)
+    assert {3, 4} <= set(common.tolist())
+    held = [np.repeat(np.arange(500), np.diff(starts)) for starts, _, _ in index.blocks]
+    assert not set(common.tolist()) & set(np.concatenate(held).tolist())
+    assert sum(map(len, held)) + np.count_nonzero(index.dense) == sum(len(t) for t, _ in vectors)
+    tokens.encoder(tokens.default_path())
+    toxicity.fresh_counter(np.arange(5))
+    assert not tokens._loaded
+
+
 def test_scores_are_those_of_brute_force(spark):
     """Every term, weight, neighbour and vote again, over dense vectors of plain Python counts."""
     import math

@@ -15,7 +15,7 @@ of a spanning forest instead of all of them. That loses no connection.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,8 +68,13 @@ def remix(h: np.ndarray, turn: int) -> np.ndarray:
 
 def fingerprints(text: str | None, size: int, count: int = 1) -> list[int]:
     """`count` fingerprints, as signed 64-bit integers; a bit is 1 if set in over half the hashes."""
+    return fingerprints_of(shingle_hashes(text, size), count)
+
+
+def fingerprints_of(blocks: Iterable[np.ndarray], count: int = 1) -> list[int]:
+    """The fingerprints of shingles' hashes, repeats included, given in blocks."""
     ones, total = np.zeros((count, 64), np.int64), 0
-    for h in shingle_hashes(text, size):
+    for h in blocks:
         total += len(h)
         for t in range(count):
             bits = np.unpackbits(remix(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -132,7 +137,7 @@ def links(prints: DataFrame, names: list[str], max_bits: int, segments: int, den
     parts = cuts(64, segments)
 
     def pairs(rows: DataFrame, f: str, *on: str) -> DataFrame:
-        met = rows.alias("a").join(rows.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on] + [F.col("a.id") > F.col("b.id")])
+        met = rows.alias("a").join(rows.alias("b").hint("merge"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on] + [F.col("a.id") > F.col("b.id")])
         apart = sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names), F.lit(0))
         return met.filter(_once(f, "a.key") & (apart <= max_bits)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
 
@@ -168,9 +173,13 @@ def links(prints: DataFrame, names: list[str], max_bits: int, segments: int, den
 
 
 def _counted(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows of keys that more than one row has, and how many (n); a hot key is only a skewed side of the join."""
+    """rows of keys that more than one row has, and how many (n); a hot key is only a skewed side of the join.
+
+    The optimizer takes rows that a generator made for as few as it was given: its size threshold would let
+    it send all counts, 63 a fingerprint, through the driver. So the join is always a shuffle.
+    """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(counts, list(keys))
+    return rows.join(counts.hint("merge"), list(keys))
 
 
 def _forests(balls: DataFrame, max_bits: int, block: int = BLOCK) -> DataFrame:

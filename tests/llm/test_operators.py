@@ -310,6 +310,13 @@ def classes(pairs, n):
     return least
 
 
+def test_signatures_are_never_sent_through_the_driver(spark):
+    """Counts of signatures, 63 for each fingerprint, are joined by a shuffle whatever size the optimizer expects."""
+    rows = spark.range(300).selectExpr("id", "xxhash64(id div 2) AS f").selectExpr("id", "f", "explode(array(f, id, 7)) AS key")
+    joined = simhash._counted(rows, "key")
+    assert joined.count() > 300 and "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_ball_gives_a_forest(spark):
     """1,500 fingerprints that nearly all link: few pairs come out, in several blocks, and one class."""
     rng = np.random.default_rng(14)

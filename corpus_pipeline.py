@@ -56,7 +56,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage(2)
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, of least doc_id, of each group of near copies: sets of five-word shingles of Jaccard similarity 0.8 or more."""
+    """One row, of least doc_id, of each group of near copies: found by SimHash, verified by the Jaccard similarity of five-word shingles (0.8), completed by it."""
     return near_copies.drop_copies(docs, shingle=5)
 
 

@@ -1,4 +1,9 @@
-"""Near copies by the exact Jaccard similarity of their sets of shingles.
+"""Near copies by SimHash, verified by the exact Jaccard similarity of their sets of shingles, and completed by it.
+
+SimHash fingerprints of the texts' shingles meet through deletion-variant signatures; each pair they find at
+most 4 bits apart is verified by the whole sets, and those of similarity 0.8 or more are linked. Texts that
+SimHash has brought into one class needn't be compared any more. At a similarity of 0.8 many fingerprints
+differ by more bits than that, so pairs across its classes are sought exactly:
 
 Two sets of similarity 0.8 or more share at least 4/9 of their sizes' sum. Put every set in one common order:
 then the first fifth (and one) of the larger set and the first ninth (and one) of the smaller have a shingle
@@ -15,22 +20,27 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skein.llm.simhash import shingle_hashes
+from skein.llm.simhash import fingerprints_of, links, shingle_hashes
 from skein.llm.worker import lean, small_batches
 from skein.operators.components import connected_components
 from skein.plans.storage import drop, settle
 
 #: One document in so many is sampled for frequent shingles; those met so often are ordered last, so many at most.
 SAMPLE, FREQUENT, LIMIT = 16, 3, 300_000
+#: Bits by which fingerprints of candidates differ at most, and the segments that find all of these.
+BITS, SEGMENTS = 4, 3
+#: Slots of a bit map of ids, as a power of two: 2 MB.
+SLOT_BITS = 24
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The different shingles' 64-bit hashes, ascending; none for a text without words."""
-    blocks = [np.unique(h) for h in shingle_hashes(text, size)]
-    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
+def shingle_set(text: str | None, size: int) -> tuple[np.ndarray, int]:
+    """The different shingles' 64-bit hashes, ascending, and the text's fingerprint; no shingles for a text without words."""
+    blocks = list(shingle_hashes(text, size))
+    return (np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)), fingerprints_of(blocks)[0]
 
 
 def digest(hashes: np.ndarray) -> tuple[int, int]:
@@ -38,24 +48,28 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def _set_rows(docs: DataFrame, size: int, columns: str, of, text=None) -> DataFrame:
-    """Rows of docs with (d0, d1, size, `columns`) beside them: the digest of the text's set, its size and an array of its hashes.
+def _set_rows(docs: DataFrame, size: int, columns: str, of, text=None, only: np.ndarray | None = None) -> DataFrame:
+    """Rows of docs with (d0, d1, print, size, `columns`) beside them: the digest of the text's set, the fingerprint, the set's size and an array of its hashes.
 
-    The text is docs' column of that name, or what `text` takes from a batch.
+    The text is docs' column of that name, or what `text` takes from a batch. `only` is a bit map of the
+    slots of docs' ids: rows whose slot is empty are left out.
     """
-    added = f"d0 long, d1 long, size long, {columns} array<long>"
+    added = f"d0 long, d1 long, print long, size long, {columns} array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingle_set(t, size) for t in (text(part) if text else part.column("text")).to_pylist()]
+                if only is not None:
+                    part = part.filter(pa.array(_has(only, part.column("id").to_numpy())))
+                both = [shingle_set(t, size) for t in (text(part) if text else part.column("text")).to_pylist()]
+                sets, prints = [s for s, _ in both], [p for _, p in both]
                 digests = [digest(s) for s in sets]
                 taken = [of(s).view(np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, taken)])
                 flat = pa.array(np.concatenate([*taken, np.zeros(0, np.int64)]))
-                arrays = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, "d0", "d1", "size", columns])
+                arrays = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(prints, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, "d0", "d1", "print", "size", columns])
 
     return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, *StructType.fromDDL(added).fields]))
 
@@ -82,21 +96,34 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.nd
     return hashes[np.argsort(rank, kind="stable")[: len(hashes) // 5 + 1]]  # hashes ascend already
 
 
-def similar_pairs(seen: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """Pairs (src, dst) of ids of nodes (id, size, prefix) with a Jaccard similarity of 0.8 or more: all of them.
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    seen (id, row, ...) has the texts of the nodes, as row.text.
-    """
-    rows = nodes.select("id", "size", F.posexplode("prefix").alias("pos", "h"))
-    shared = settle(rows.join(rows.groupBy("h").count().filter("count > 1").select("h"), "h"), "prefixes")
-    # a is the smaller set, or that of less id; what may still follow a shared shingle must suffice for 4/9 of both.
-    rule = """a.h = b.h AND (a.size < b.size OR (a.size = b.size AND a.id < b.id)) AND 5 * a.size >= 4 * b.size
-        AND 9 * least(a.size - a.pos, b.size - b.pos) >= 4 * (a.size + b.size)"""
-    pairs = settle(shared.alias("a").join(shared.alias("b"), F.expr(rule)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct(), "candidates")
-    drop(shared)
+
+def _has(slots: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _slot(ids)
+    return (slots[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _slots(ends: DataFrame) -> np.ndarray:
+    """A bit map of bounded size: ids share slots, so it tells which rows aren't among ends, not which are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _slot(batch.column("id").to_numpy())
+            yield pa.RecordBatch.from_pydict({"word": pa.array(at >> 6), "bits": pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))})
+
+    words = ends.select("id").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    map_ = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    map_[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return map_.view(np.uint8)
+
+
+def _verified(seen: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """Those of pairs (src, dst) whose whole sets have a similarity of 0.8 or more; pairs is a settled table and goes."""
     ends = settle(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct(), "ends")  # written, so its size is known to the join
-    texts = seen.select("id", F.col("row.text").alias("text")).join(ends, "id")
-    sets = settle(_set_rows(texts, shingle, "hashes", lambda s: s).select("id", "hashes"), "sets")
+    texts = seen.select("id", F.col("row.text").alias("text"))
+    sets = settle(_set_rows(texts, shingle, "hashes", lambda s: s, only=_slots(ends)).select("id", "hashes"), "sets")  # neither texts nor sets are shuffled for it
     half = pairs.join(sets.select(F.col("id").alias("src"), F.col("hashes").alias("x")), "src")
     both = half.join(sets.select(F.col("id").alias("dst"), F.col("hashes").alias("y")), "dst")
     common = F.size(F.array_intersect("x", "y"))
@@ -105,6 +132,27 @@ def similar_pairs(seen: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return edges
 
 
+def simhash_pairs(seen: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """Pairs (src, dst) of nodes (id, print) that SimHash finds and the whole sets confirm."""
+    return _verified(seen, links(nodes.select("id", "print"), ["print"], BITS, SEGMENTS), shingle)
+
+
+def similar_pairs(seen: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """Pairs (src, dst) of ids of nodes (id, component, size, prefix) in different components with a Jaccard similarity of 0.8 or more: all of them.
+
+    seen (id, row, ...) has the texts of the nodes, as row.text.
+    """
+    rows = nodes.select("id", "component", "size", F.posexplode("prefix").alias("pos", "h"))
+    met = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("n > 1")  # one shuffle; a hot shingle's rows spill
+    shared = settle(met.drop("n"), "prefixes")
+    # a is the smaller set, or that of less id; what may still follow a shared shingle must suffice for 4/9 of both.
+    rule = """a.h = b.h AND a.component != b.component AND (a.size < b.size OR (a.size = b.size AND a.id < b.id)) AND 5 * a.size >= 4 * b.size
+        AND 9 * least(a.size - a.pos, b.size - b.pos) >= 4 * (a.size + b.size)"""
+    pairs = settle(shared.alias("a").join(shared.alias("b").hint("merge"), F.expr(rule)).select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct(), "candidates")
+    drop(shared)
+    return _verified(seen, pairs, shingle)
+
+
 def _classed(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows (row, id, ..) of docs with a number of their own, and (id, least) with the row that stays of its group.
 
@@ -117,9 +165,13 @@ def _classed(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     seen = settle(_set_rows(whole, shingle, "prefix", lambda s: prefix(s, frequent, ranks), lambda batch: batch.column("row").field(place)), "rows")
     doc_id = F.col("row.doc_id").cast("long")
     order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("id").alias("id"))
-    nodes = seen.groupBy("d0", "d1").agg(F.min(order).alias("first"), F.max("size").alias("size"), F.first("prefix").alias("prefix"))
-    nodes = settle(nodes.select("d0", "d1", "first", F.col("first.id").alias("id"), "size", "prefix"), "nodes")
-    reached = connected_components(similar_pairs(seen, nodes.select("id", "size", "prefix"), shingle)).select(F.col("node").alias("id"), "component")
+    nodes = seen.groupBy("d0", "d1").agg(F.min(order).alias("first"), F.max("size").alias("size"), F.min("print").alias("print"), F.first("prefix").alias("prefix"))
+    nodes = settle(nodes.select("d0", "d1", "first", F.col("first.id").alias("id"), "size", "print", "prefix"), "nodes")
+    found = simhash_pairs(seen, nodes, shingle)
+    classes = connected_components(found).select(F.col("node").alias("id"), "component")
+    classed = nodes.select("id", "size", "prefix").join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    edges = found.union(similar_pairs(seen, classed, shingle))
+    reached = connected_components(edges).select(F.col("node").alias("id"), "component")
     met = nodes.select("d0", "d1", "first", "id").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = met.groupBy("component").agg(F.min("first").alias("least"))
     classes = met.join(least, "component").select("d0", "d1", "least")

@@ -3,6 +3,8 @@
 import numpy as np
 
 import corpus_pipeline
+from skein.llm import near_copies
+from skein.llm.simhash import fingerprints
 
 
 def shingles(text):
@@ -51,3 +53,30 @@ def test_pairs_are_those_of_brute_force(spark, tmp_path):
     kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect() if r["doc_id"] is not None)
     assert kept == [i for i in range(len(texts)) if find(i) == i]
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_simhash_finds_pairs_first_and_the_join_completes_them(spark, tmp_path, monkeypatch):
+    """Pairs come from fingerprints at most 4 bits apart; the join on prefixes gives only links between their classes."""
+    texts = corpus()
+    sets = [shingles(t) for t in texts]
+    prints = [np.array(fingerprints(t, 5)[0]).view(np.uint64) for t in texts]
+    steps = {}
+    for name in ("simhash_pairs", "similar_pairs"):
+        step = getattr(near_copies, name)
+
+        def kept(*args, step=step, name=name):
+            steps[name] = (args, found := step(*args))
+            return found
+
+        monkeypatch.setattr(near_copies, name, kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).count()
+    (seen, _, _), found = steps["simhash_pairs"]
+    place = {r["id"]: r["row"]["doc_id"] for r in seen.select("id", "row").collect()}
+    first = {(place[r["src"]], place[r["dst"]]) for r in found.collect()}
+    assert len(first) > 10 and all(np.bitwise_count(prints[i] ^ prints[j]) <= 4 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i, j in first)
+    heads = [place[r["id"]] for r in steps["simhash_pairs"][0][1].select("id").collect()]
+    near = {frozenset((i, j)) for i in heads for j in heads if i < j and np.bitwise_count(prints[i] ^ prints[j]) <= 4 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert near == {frozenset(p) for p in first}
+    later = {frozenset((place[r["src"]], place[r["dst"]])) for r in steps["similar_pairs"][1].collect()}
+    assert later and not later & near

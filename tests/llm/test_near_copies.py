@@ -80,3 +80,52 @@ def test_simhash_finds_pairs_first_and_the_join_completes_them(spark, tmp_path,
     assert near == {frozenset(p) for p in first}
     later = {frozenset((place[r["src"]], place[r["dst"]])) for r in steps["similar_pairs"][1].collect()}
     assert later and not later & near
+
+
+def test_marks_never_rule_out_similar_sets():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for n in (0, 1, 2, 5, 63, 64, 65, 130, 1000, 5000):
+        for part in (0, 0.05, 0.1, 0.2, 0.5, 1):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[: len(x) - int(part * len(x))], rng.integers(0, 1 << 63, int(part * n * rng.random()), dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            similar = 5 * both >= 4 * (len(x) + len(y) - both)
+            found = near_copies.may_be_similar(near_copies.marks(x), near_copies.marks(y), len(x) + len(y))
+            assert found or not similar
+            ruled_out += not found
+    assert ruled_out > 15
+
+
+def test_only_what_marks_leave_open_is_shuffled(spark, tmp_path, monkeypatch):
+    """Whole sets are made for few texts besides those of links, and rows are dropped where they lie, whatever may be broadcast."""
+    texts = corpus()
+    sets, rows = [shingles(t) for t in texts], []
+    linked = {i for i in range(len(sets)) for j in range(len(sets)) if i != j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    settle = near_copies.settle
+
+    def counted(df, label):
+        back = settle(df, label)
+        rows.extend([back.count()] if label == "sets" else [])
+        return back
+
+    monkeypatch.setattr(near_copies, "settle", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(rows) == 2 and all(n <= 1.1 * len(linked) for n in rows)
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_rows_are_chosen_by_exact_numbers(spark):
+    ids = [0, 1, 62, 63, 64, 65, 127, 128, 700, (3 << 33) + 63, (3 << 33) + 64, (9 << 33) + 5]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    for chosen in ([], ids, [63, 64, (3 << 33) + 63], [700], [(9 << 33) + 5, (9 << 33) + 5]):
+        some = spark.createDataFrame([(i,) for i in chosen], "id long")
+        assert sorted(r["id"] for r in near_copies._among(rows, some).collect()) == sorted(set(chosen))
+        assert sorted(r["id"] for r in near_copies._among(rows, some, keep=False).collect()) == sorted(set(ids) - set(chosen))

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from skein.llm.simhash import fingerprints_of, links, shingle_hashes
+from skein.llm.simhash import fingerprints_of, links, shingle_hashes_of
 from skein.llm.worker import lean, small_batches
 from skein.operators.components import connected_components
 from skein.plans.storage import drop, settle
@@ -46,9 +46,8 @@ PLACES = 1 << 16
 ROW_BITS = 33
 
 
-def shingle_set(text: str | None, size: int) -> tuple[np.ndarray, int]:
-    """The different shingles' 64-bit hashes, ascending, and the text's fingerprint; no shingles for a text without words."""
-    blocks = list(shingle_hashes(text, size))
+def shingle_set(blocks: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """The different hashes of a text's shingles, ascending, and its fingerprint; no shingles for a text without words."""
     return (np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)), fingerprints_of(blocks)[0]
 
 
@@ -82,7 +81,7 @@ def _set_rows(docs: DataFrame, size: int, columns: str, of, text=None, marked: b
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                both = [shingle_set(t, size) for t in (text(part) if text else part.column("text")).to_pylist()]
+                both = [shingle_set(blocks) for blocks in shingle_hashes_of((text(part) if text else part.column("text")).to_pylist(), size)]
                 sets, prints = [s for s, _ in both], [p for _, p in both]
                 digests = [digest(s) for s in sets]
                 taken = [of(s).view(np.int64) for s in sets]

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.pq_dedup import forest
+from skein.llm.tokens import spans
 from skein.llm.worker import lean, small_batches
 from skein.operators.components import connected_components
 from skein.plans.storage import drop, settle
@@ -37,6 +38,11 @@ DENSE = 64
 #: Fingerprints of a ball that are compared with as many others at once, about.
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 16
+#: Characters of texts whose shingles are hashed together, about; the longest strings, and the least number of one length, that numpy hashes.
+GROUP_CHARS, LONGEST, LEAST = 1 << 20, 192, 48
+SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+M1, M2, M3, M4, M5 = map(np.uint64, (P1, P2, P3, P4, P5))
 
 
 def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
@@ -56,6 +62,106 @@ def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
         yield np.array([hash_(joined[i:j], SEED) for i, j in zip(a.tolist(), b.tolist())], np.uint64)
 
 
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def _xxh64_of_length(eight: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """XXH64 of the strings of `size` bytes at those places; eight[i] is the integer of the 8 bytes from i on."""
+    done, whole = 0, (1 << 64) - 1
+    if size >= 32:
+        lanes = [np.full(len(at), v & whole, np.uint64) for v in (SEED + P1 + P2, SEED + P2, SEED, SEED - P1)]
+        for done in range(0, size - 31, 32):
+            lanes = [_turned(v + eight[at + (done + 8 * i)] * M2, 31) * M1 for i, v in enumerate(lanes)]
+        done += 32
+        h = _turned(lanes[0], 1) + _turned(lanes[1], 7) + _turned(lanes[2], 12) + _turned(lanes[3], 18)
+        for v in lanes:
+            h = (h ^ _turned(v * M2, 31) * M1) * M1 + M4
+        h += np.uint64(size)
+    else:
+        h = np.full(len(at), SEED + P5 + size & whole, np.uint64)
+    for done in range(done, size - 7, 8):
+        h = _turned(h ^ _turned(eight[at + done] * M2, 31) * M1, 27) * M1 + M4
+    done = size & ~7
+    if size & 7:
+        last = eight[at + done]
+        if size & 4:
+            h = _turned(h ^ (last & np.uint64(0xFFFFFFFF)) * M1, 23) * M2 + M3
+            last = last >> np.uint64(32)
+        for k in range(size & 3):
+            h = _turned(h ^ (last >> np.uint64(8 * k) & np.uint64(0xFF)) * M5, 11) * M1
+    h = (h ^ h >> np.uint64(33)) * M2
+    h = (h ^ h >> np.uint64(29)) * M3
+    return h ^ h >> np.uint64(32)
+
+
+def xxh64_all(raw: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH64 of the strings of raw that begin at `at`, `size` bytes long; behind the last one raw has 8 bytes more.
+
+    Strings of one length are hashed together; long ones, and those of a rare length, each by itself.
+    """
+    out = np.empty(len(at), np.uint64)
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    capped = np.minimum(size, LONGEST + 1).astype(np.uint8)
+    order = np.argsort(capped, kind="stable")
+    counts = np.bincount(capped, minlength=LONGEST + 2)
+    ends = np.cumsum(counts)
+    for n in np.flatnonzero(counts).tolist():
+        own = order[ends[n] - counts[n] : ends[n]]
+        if n <= LONGEST and len(own) >= LEAST:
+            out[own] = _xxh64_of_length(eight, at[own], n)
+        else:
+            out[own] = np.array([xxhash.xxh64_intdigest(raw[i : i + k], SEED) for i, k in zip(at[own].tolist(), size[own].tolist())], np.uint64)
+    return out
+
+
+def _hashed_together(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The hashes of each text's shingles, as shingle_hashes gives them."""
+    raw = np.frombuffer((b"\n".join(texts) + b"\n").translate(LOWER), np.uint8)
+    plain = np.zeros(len(raw) + 1, bool)
+    np.logical_not(SPACES[raw], out=plain[1:])
+    edges = np.flatnonzero(plain[1:] != plain[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    plain = plain[1:]
+    plain[ends] = True  # of the white space behind a word one byte stays, as a space
+    after = np.cumsum(ends - starts + 1)
+    joined = raw[plain]
+    joined[after - 1] = 32
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    first = np.searchsorted(starts, np.cumsum(lengths) - lengths)
+    words = np.diff(np.append(first, len(starts)))
+    counts = np.where(words > size, words - size + 1, np.minimum(words, 1))
+    low = spans(first, counts)
+    high = low + np.repeat(np.minimum(words, size), counts) - 1
+    at = (after - 1 - (ends - starts))[low]
+    hashes = xxh64_all(joined.tobytes() + b"\0" * 8, at, after[high] - 1 - at)
+    cuts_ = np.cumsum(counts)
+    for a, b in zip((cuts_ - counts).tolist(), cuts_.tolist()):
+        yield hashes[a:b]
+
+
+def shingle_hashes_of(texts: Iterable[str | None], size: int) -> Iterator[list[np.ndarray]]:
+    """list(shingle_hashes(text, size)) of each text, in which blocks may be cut elsewhere; short texts are hashed together."""
+    held: list[bytes] = []
+    chars = 0
+
+    def take() -> Iterator[list[np.ndarray]]:
+        for h in _hashed_together(held, size) if held else ():
+            yield [h] if len(h) else []
+
+    for text in texts:
+        raw = (text or "").encode()
+        if held and chars + len(raw) > GROUP_CHARS:
+            yield from take()
+            held, chars = [], 0
+        if len(raw) > GROUP_CHARS:
+            yield list(shingle_hashes(text, size))
+        else:
+            held.append(raw)
+            chars += len(raw) + 1
+    yield from take()
+
+
 def remix(h: np.ndarray, turn: int) -> np.ndarray:
     """Another 64-bit hash of the same shingles for each turn; turn 0 is h itself."""
     if not turn:
@@ -91,7 +197,7 @@ def fingerprint_table(docs: DataFrame, size: int, count: int = 1) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                prints = [fingerprints(t, size, count) for t in part.column("text").to_pylist()]
+                prints = [fingerprints_of(blocks, count) for blocks in shingle_hashes_of(part.column("text").to_pylist(), size)]
                 columns = {n: pa.array([p[t] for p in prints], pa.int64()) for t, n in enumerate(names)}
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | columns)
 

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from skein.llm import near_copies
+from skein.llm import near_copies, simhash
 from skein.llm.simhash import fingerprints
 
 
@@ -129,3 +129,31 @@ def test_rows_are_chosen_by_exact_numbers(spark):
         some = spark.createDataFrame([(i,) for i in chosen], "id long")
         assert sorted(r["id"] for r in near_copies._among(rows, some).collect()) == sorted(set(chosen))
         assert sorted(r["id"] for r in near_copies._among(rows, some, keep=False).collect()) == sorted(set(ids) - set(chosen))
+
+
+def test_shingles_of_many_texts_are_hashed_together(monkeypatch):
+    """The hashes are XXH64's, text by text, whatever the texts, and only strings that are long or of a rare length are hashed singly."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdeXYZ\u00e9\u4e2d'"), n)) for n in rng.integers(1, 12, 300)]
+    spaces = [" ", "\n", "\t ", "\x0b\x0c", " \r\n "]
+    plain = [" ".join(rng.choice(words, n)) for n in rng.integers(20, 300, 200)]
+    odd = [None, "", " ", "\n\n", "a", " a", "A b ", "a b c d", "a b c d e", "a b c d e f", "\x1c\x85\xa0 b c d e f g", "a\0b " * 9, "x" * 5000 + " y z " * 3, "".join(w + str(rng.choice(spaces)) for w in rng.choice(words, 400)), " ".join(rng.choice(words, 3000))]
+    monkeypatch.setattr(simhash, "GROUP_CHARS", 8000)  # the longest texts are hashed in blocks of their own
+    texts = [odd[i // 8] if i % 8 == 0 and i // 8 < len(odd) else t for i, t in enumerate(plain)]
+    assert any(len(t or "") > 8000 for t in texts)
+    for size in (1, 4, 5):
+        got = list(simhash.shingle_hashes_of(texts, size))
+        assert len(got) == len(texts)
+        for text, blocks in zip(texts, got):
+            want = [h for block in simhash.shingle_hashes(text, size) for h in block.tolist()]
+            assert [h for block in blocks for h in block.tolist()] == want and all(map(len, blocks))
+    assert list(simhash.shingle_hashes_of([], 5)) == []
+    calls, one = [], simhash.xxhash.xxh64_intdigest
+    monkeypatch.undo()
+    monkeypatch.setattr(simhash.xxhash, "xxh64_intdigest", lambda *a: calls.append(1) or one(*a))
+    hashes = sum(len(b) for blocks in simhash.shingle_hashes_of(plain * 4, 5) for b in blocks)
+    assert hashes > 100_000 and len(calls) < hashes / 20
+    sizes = rng.integers(0, 300, 9000)
+    raw = rng.integers(0, 256, 20_000, dtype=np.uint8).tobytes()
+    at = rng.integers(0, 19_000, 9000)
+    assert simhash.xxh64_all(raw, at, sizes).tolist() == [one(raw[i : i + n], 42) for i, n in zip(at.tolist(), sizes.tolist())]

@@ -68,39 +68,44 @@ class WordCounter:
         self.a, self.b, self.size = (np.zeros(0, np.uint64) for _ in range(3))
 
     @staticmethod
-    def _parts(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, length) of a text's words; a word outside cp1252, or a long one, is named by two hashes."""
-        raw = latin_bytes(text)
-        if raw is None:  # words, each by itself
-            parts = [(w, latin_bytes(w)) for w in LETTERS.findall(text.lower())]
-            raw = b"\n".join(r for _, r in parts if r is not None)
-            far = [w.encode() for w, r in parts if r is None]
-        else:
-            far = []
-        raw += b"\n" * 17
+    def _parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, length, number of its text) of the texts' words; a word outside cp1252, or a long one, is named by two hashes.
+
+        Texts lie behind one another, a line each, and are cut together.
+        """
+        lines, far, owner = [], [], []
+        for i, text in enumerate(texts):
+            raw = latin_bytes(text)
+            if raw is None:  # words, each by itself
+                parts = [(w, latin_bytes(w)) for w in LETTERS.findall(text.lower())]
+                raw = b"\n".join(r for _, r in parts if r is not None)
+                far += [w.encode() for w, r in parts if r is None]
+                owner += [i] * (len(far) - len(owner))
+            lines.append(raw)
+        raw = b"\n".join(lines) + b"\n" * 17
         flat = np.frombuffer(raw, np.uint8)
         starts, sizes = LatinWords.cut(flat)
         letters = CLASSES[flat[starts]] == LETTER
         starts, sizes = starts[letters], sizes[letters]
+        each = np.searchsorted(np.cumsum([len(r) + 1 for r in lines]), starts, "right")
         long = sizes > LOOKED_UP
         far += [raw[i : i + n].decode("cp1252").encode() for i, n in zip(starts[long].tolist(), sizes[long].tolist())]
         a, b = LatinWords.halves(raw, starts[~long], sizes[~long])
         more = np.array([[xxhash.xxh64_intdigest(w), xxhash.xxh64_intdigest(w, 1), 1] for w in far], np.uint64).reshape(-1, 3)
         lead = [w[:8].ljust(8, b"\0") for w in far]  # beginnings of long words are those of their bytes
         first = np.frombuffer(b"".join(lead), "<u8")
-        return np.append(a, first), np.append(b, more[:, 0]), np.append(sizes[~long], np.array([max(9, len(w)) for w in far], np.int64))
+        numbers = np.concatenate([each[~long], np.array(owner, np.int64), each[long]])
+        return np.append(a, first), np.append(b, more[:, 0]), np.append(sizes[~long], np.array([max(9, len(w)) for w in far], np.int64)), numbers
 
     def count(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(numbers of its different words, how often each occurs) of each text."""
         if self.table.words > CACHE_WORDS:
             self._clear()
-        parts = [self._parts(t or "") for t in texts]
-        a, b, size = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else (np.zeros(0, np.uint64),) * 3
+        a, b, size, each = self._parts([t or "" for t in texts])
         numbers, new = self.table.find(a, b)
         self.a, self.b, self.size = np.append(self.a, a[new]), np.append(self.b, b[new]), np.append(self.size, size[new].astype(np.uint64))
-        each = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         both, counts = np.unique(each << 32 | numbers, return_counts=True)
-        ends = np.searchsorted(both, (np.arange(len(parts)) + 1) << 32)
+        ends = np.searchsorted(both, (np.arange(len(texts)) + 1) << 32)
         words, before = both & 0xFFFFFFFF, 0
         for end in ends.tolist():
             yield words[before:end], counts[before:end]

@@ -482,6 +482,20 @@ def test_block_max_search_is_exact(monkeypatch):
         assert np.allclose(got, [-c for c, _ in want]) and np.allclose(cosines[rows], got)
 
 
+def test_words_of_many_texts_are_cut_together(monkeypatch):
+    """A group of texts is cut once, and each text has the words it has by itself, whatever its characters."""
+    texts = [None, "", "one Two two", "don't 'tis", "Stra\u00dfe \u0391\u0392 words \u4e2d\u6587 x", "x" * 40 + " " + "\u00e9" * 30, "tail'", "s first", "a\0b a", "ends here"] * 3
+    cuts, one = [], toxicity.LatinWords.cut
+    monkeypatch.setattr(toxicity.LatinWords, "cut", staticmethod(lambda raw: cuts.append(1) or one(raw)))
+    counter = toxicity.WordCounter()
+    together = [dict(zip(n.tolist(), c.tolist())) for n, c in counter.count(texts)]
+    assert len(cuts) == 1 and len(together) == len(texts)
+    for text, counts in zip(texts, together):
+        numbers, again = next(counter.count([text]))
+        assert counts == dict(zip(numbers.tolist(), again.tolist()))
+    assert sorted(together[2].values()) == [1, 2] and sum(together[4].values()) == 5 and sum(together[5].values()) == 2 and list(counter.count([])) == []
+
+
 def test_a_model_holds_each_posting_once():
     """Common terms are dense rows and no postings, and a worker that scores lets the tokenizer go."""
     rng = np.random.default_rng(2)

@@ -7,6 +7,8 @@ the tone; none is left out. Examples of both labels lie in an inverted index who
 blocks with the block's greatest weight: a search takes blocks in order of the bound that these weights give
 and stops when no block can enter the nearest ones any more, so the cosines are exact. Neighbours vote with
 their cosines; the vote is calibrated on examples that were scored by the other half of the sample.
+Tasks build the index and write it to the shared folder, where the tasks that score open it: the driver holds the
+vocabulary and a vote an example, never the examples.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import files
 from skein.llm.tokens import CLASSES, LETTER, LOOKED_UP, MASKS, LatinWords, WordTable, forget, latin_bytes, spans
 from skein.llm.worker import lean, small_batches, trim
-from skein.plans.storage import settle
+from skein.plans.storage import fresh_path, settle
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -210,8 +213,8 @@ class BlockMaxIndex:
         at = spans(starts[terms], counts)
         return np.bincount(rows[at], weights=held[at] * np.repeat(weights, counts), minlength=size)
 
-    def _prepare(self) -> None:
-        """In each process: the rarer terms' postings over all blocks, filled block by block, as copies of them all don't fit beside."""
+    def prepare(self) -> None:
+        """The rarer terms' postings over all blocks, filled block by block, as copies of them all don't fit beside."""
         starts = np.sum([posts[0] for posts in self.blocks], axis=0, dtype=np.int64).astype(np.int32)
         rows, weights, at = np.empty(int(starts[-1]), np.int32), np.empty(int(starts[-1])), starts[:-1].copy()
         for b, (own, own_rows, own_weights) in enumerate(self.blocks):
@@ -228,7 +231,7 @@ class BlockMaxIndex:
             yield from ((np.zeros(0), np.zeros(0, np.int64)) for _ in queries)
             return
         if not hasattr(self, "rare"):
-            self._prepare()
+            self.prepare()
         for at in range(0, len(queries), 128):
             part = queries[at : at + 128]
             lead = np.zeros((len(part), len(self.dense)))
@@ -267,7 +270,7 @@ class BlockMaxIndex:
 class Model:
     vocabulary: np.ndarray
     weight: np.ndarray
-    index: BlockMaxIndex | None
+    index: str | None  # the file of the examples' BlockMaxIndex in the shared folder; None: there are no examples
     slope: float
     offset: float
 
@@ -276,15 +279,19 @@ class Model:
         norm = np.sqrt((v * v).sum())
         return (terms, v / norm) if norm else (terms[:0], v[:0])
 
-    def scores(self, batch: pa.RecordBatch, counter: TermCounter) -> list[tuple[float, list[int]]]:
-        """(score, evidence) of each row of a batch."""
-        if self.index is None:
+    def opened(self) -> BlockMaxIndex | None:
+        """A task's index."""
+        return files.open_saved(self.index) if self.index else None
+
+    def scores(self, batch: pa.RecordBatch, counter: TermCounter, index: BlockMaxIndex | None) -> list[tuple[float, list[int]]]:
+        """(score, evidence) of each row of a batch. index: opened()."""
+        if index is None:
             return [(1 / (1 + math.exp(-self.offset)), [])] * batch.num_rows
         vectors = [self.vector(*c) for c in counter.count(batch.column("text").to_pylist())]
         out = []
-        for cosines, near in self.index.nearest_all(vectors):
-            total = self.slope * votes(cosines, near, self.index.labels) + self.offset
-            out.append((1 / (1 + math.exp(-max(-60.0, min(60.0, total)))), self.index.ids[near].tolist()))
+        for cosines, near in index.nearest_all(vectors):
+            total = self.slope * votes(cosines, near, index.labels) + self.offset
+            out.append((1 / (1 + math.exp(-max(-60.0, min(60.0, total)))), index.ids[near].tolist()))
         return out
 
 
@@ -328,6 +335,27 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"toxic": pa.array(np.full(len(terms), toxic), pa.int32()), "beginning": pa.array(np.arange(len(terms)) >= len(keys)), "term": pa.array(terms, pa.int64())})
 
 
+def _learn_index(rows: pa.Table, model: Model, part: int, uri: str) -> pa.Table:
+    """Rows (doc_id, toxic, vote). rows: the examples (doc_id, toxic, terms, counts).
+
+    Part 0 or 1: the votes that the examples of that half give those of the other. Part 2: none, but the index of all
+    examples is written.
+    """
+    rows = rows.sort_by("doc_id").combine_chunks()
+    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
+    vectors = [model.vector(t.values.to_numpy().astype(np.int64), c.values.to_numpy()) for t, c in zip(rows.column("terms"), rows.column("counts"))]
+    mine = np.arange(len(ids)) % 2 == part if part < 2 else np.ones(len(ids), bool)
+    rest = np.flatnonzero(~mine)
+    index = BlockMaxIndex([v for v, m in zip(vectors, mine) if m], toxic[mine], ids[mine], len(model.vocabulary))
+    index.vectors = []  # the postings have them
+    if part == 2:
+        if index.blocks:
+            index.prepare()
+        files.save(uri, index)
+    given = [votes(*near, index.labels) for near in index.nearest_all([vectors[i] for i in rest])]
+    return pa.table({"doc_id": pa.array(ids[rest], pa.int64()), "toxic": pa.array(toxic[rest], pa.int32()), "vote": pa.array(given, pa.float64())})
+
+
 def select_terms(sample: DataFrame, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, ascending, and how far each tells the labels apart) of the terms of a sample (toxic, text)."""
     counts = sample.select("toxic", "text").mapInArrow(lean(_term_rows), "toxic int, beginning boolean, term long").groupBy("term").agg(F.max("beginning").alias("beginning"), F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
@@ -392,20 +420,17 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
             found = list(counter.count(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": pa.array([t for t, _ in found], pa.list_(pa.int32())), "counts": pa.array([c for _, c in found], pa.list_(pa.float64()))})
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(lean(count), "doc_id long, toxic int, terms array<int>, counts array<double>").orderBy("doc_id").toArrow()
-    ids, toxic = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()
-    model = Model(vocabulary, weight, None, 0.0, 0.0)
-    vectors = [model.vector(t.values.to_numpy().astype(np.int64), c.values.to_numpy()) for t, c in zip(rows.column("terms"), rows.column("counts"))]
-    half, x = np.arange(len(ids)) % 2, np.zeros(len(ids))
-    for side in (0, 1):
-        index = BlockMaxIndex([v for v, h in zip(vectors, half) if h == side], toxic[half == side], ids[half == side], len(vocabulary))
-        rest = np.flatnonzero(half != side)
-        for i, near in zip(rest.tolist(), index.nearest_all([vectors[i] for i in rest])):
-            x[i] = votes(*near, index.labels)
-    model.slope, model.offset = calibrate(x, toxic, prior)
-    model.index = BlockMaxIndex(vectors, toxic, ids, len(vocabulary))
-    model.index.vectors = []  # the postings have them
-    return model
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(lean(count), "doc_id long, toxic int, terms array<int>, counts array<double>")
+    model, uri = Model(vocabulary, weight, None, 0.0, 0.0), f"{fresh_path(docs.sparkSession, 'index')}/index"
+
+    def learn(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        found = _learn_index(rows, model, key[0].as_py(), uri)
+        trim()
+        return found
+
+    given = rows.withColumn("part", F.explode(F.array(*map(F.lit, range(3))))).groupBy("part").applyInArrow(learn, "doc_id long, toxic int, vote double").orderBy("doc_id").toArrow()
+    slope, offset = calibrate(given.column("vote").to_numpy(), given.column("toxic").to_numpy(), prior)
+    return Model(vocabulary, weight, uri, slope, offset)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -416,9 +441,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = fresh_counter(model.vocabulary)
+        counter, index = fresh_counter(model.vocabulary), model.opened()
         for batch in batches:
-            found = model.scores(batch, counter)
+            found = model.scores(batch, counter, index)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array([s for s, _ in found], pa.float64()), "evidence": pa.array([e for _, e in found], pa.list_(pa.int64()))})
             trim()
 
@@ -430,9 +455,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     """The rows of docs, all columns, whose score is below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = fresh_counter(model.vocabulary)
+        counter, index = fresh_counter(model.vocabulary), model.opened()
         for batch in batches:
-            yield batch.filter(pa.array([s < threshold for s, _ in model.scores(batch, counter)], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s, _ in model.scores(batch, counter, index)], pa.bool_()))
             trim()
 
     return docs.mapInArrow(lean(run), docs.schema)

@@ -512,6 +512,21 @@ def test_a_model_holds_each_posting_once():
     assert not tokens._loaded
 
 
+def test_examples_stay_out_of_the_driver(spark, monkeypatch):
+    """Tasks build the index and write it, others open it: the driver makes none and sends none with its functions."""
+    t, labels = toxic_corpus(300)
+    built = []
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "__post_init__", lambda self: built.append(self))
+    model = toxicity.fit(spark.createDataFrame(rows_of(t), SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert not built and not any(isinstance(x, toxicity.BlockMaxIndex) for x in vars(model).values())
+    index = model.opened()
+    taught = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert dict(zip(index.ids.tolist(), index.labels.tolist())) == taught and not index.dense.flags.writeable
+    d = spark.createDataFrame(rows_of([None, ""] * 10), SCHEMA)  # examples without a term
+    blank = toxicity.fit(d, spark.createDataFrame([(i, i % 4 // 2) for i in range(20)], "doc_id long, toxic int"))
+    assert len({r["score"] for r in toxicity.score(d, blank).collect()}) == 1
+
+
 def test_scores_are_those_of_brute_force(spark):
     """Every term, weight, neighbour and vote again, over dense vectors of plain Python counts."""
     import math

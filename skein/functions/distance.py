@@ -105,3 +105,33 @@ def matrix(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
         return -s
     norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None]
     return np.where(norms == 0, 1.0, 1 - s / np.where(norms == 0, 1, norms))
+
+
+def of_pairs(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each row of a to the same row of b; equal rows give equal distances wherever they lie."""
+    if metric == "euclidean":
+        return np.sqrt(((a - b) ** 2).sum(1))
+    if metric == "manhattan":
+        return np.abs(a - b).sum(1)
+    if metric == "hamming":
+        return ((a > 0) != (b > 0)).sum(1).astype(float)
+    s = (a * b).sum(1)
+    if metric == "dot":
+        return -s
+    norms = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1))
+    return np.where(norms == 0, 1.0, 1 - s / np.where(norms == 0, 1, norms))
+
+
+def rough(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """matrix() by one product of matrices where the metric allows, and how far its values may be off."""
+    if metric == "euclidean":
+        qq, xx = (q * q).sum(1), (x * x).sum(1)
+        d = q @ x.T
+        d *= -2
+        d += qq[:, None]
+        d += xx
+        np.maximum(d, 0, out=d)
+        return np.sqrt(d, out=d), 1e-6 * float(np.sqrt(qq.max(initial=0)) + np.sqrt(xx.max(initial=0)))
+    if metric == "dot":
+        return -(q @ x.T), 1e-9 * float(np.sqrt((q * q).sum(1).max(initial=0) * (x * x).sum(1).max(initial=0)))
+    return matrix(metric, q, x), 1e-9

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.distance import distance_to, matrix
+from skein.functions.distance import distance_to, matrix, of_pairs, rough
 
 Vector = Sequence[float]
 
@@ -52,6 +52,49 @@ def topk_threshold(df: DataFrame, query: Vector, k: int, threshold: float, metri
     return topk(df, query, k, metric, None, id_col).filter(F.col("distance") <= threshold)
 
 
+class Nearest:
+    """The k nearest rows so far of each of a block of queries, by distance and then id."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = q, k, metric
+        self.distance = np.full((len(q), k), np.inf)
+        self.id = np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def bound(self) -> np.ndarray:
+        """What a row may be away from each query to count; infinite while a query has less than k rows."""
+        return self.distance[:, -1]
+
+    def offer(self, x: np.ndarray, ids: np.ndarray, may: np.ndarray | None = None) -> None:
+        """Take in a block of rows; may: which pairs of query and row count (queries by rows), all if left out."""
+        if may is None or np.count_nonzero(may) > may.size >> 4:
+            d, off = rough(self.metric, self.q, x)
+            if may is not None:
+                d[~may] = np.inf
+            bound = self.bound()
+            if len(ids) > self.k and (open_ := np.flatnonzero(np.isinf(bound))).size:
+                bound = bound.copy()
+                bound[open_] = np.partition(d[open_], self.k - 1, axis=1)[:, self.k - 1]
+            may = (d <= (bound + 2 * off)[:, None]) & (d < np.inf)  # the few rows that may enter
+        r, c = np.nonzero(may)
+        if not len(r):
+            return
+        d = np.concatenate([of_pairs(self.metric, self.q[r[i : i + 65536]], x[c[i : i + 65536]]) for i in range(0, len(r), 65536)])
+        enters = d <= self.bound()[r]
+        r, c, d = r[enters], c[enters], d[enters]
+        at = np.unique(r)  # the queries whose rows change
+        n, k = len(at), self.k
+        row, dist = np.append(np.repeat(np.arange(n), k), np.searchsorted(at, r)), np.append(self.distance[at].ravel(), d)
+        name = np.append(self.id[at].ravel(), ids[c])
+        order = np.lexsort((name, dist, row))
+        best = order[np.searchsorted(row[order], np.arange(n))[:, None] + np.arange(k)]
+        self.distance[at], self.id[at] = dist[best], name[best]
+
+    def found(self, names: np.ndarray) -> pa.RecordBatch:
+        """(query_id, id, distance); names: the queries' ids."""
+        r, c = np.nonzero(np.isfinite(self.distance))
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(names[r]), "id": pa.array(self.id[r, c]), "distance": pa.array(self.distance[r, c])})
+
+
 def batch_topk(df: DataFrame, queries: np.ndarray, query_ids: Sequence[int], k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", block: int = 8192) -> DataFrame:
     """(query_id, id, distance, rank) of every query's k nearest rows.
 

@@ -1,6 +1,7 @@
 """Bounds that hold at any size, on small tables."""
 
 import numpy as np
+import pytest
 
 from skein.operators import ann_batch
 
@@ -33,3 +34,31 @@ def test_range_search_hands_pairs_on_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(ann_batch, "_blocks", blocks)
     ann_batch.within(None, x[:512], range(512), 100.0)
     assert sum(seen) == 512 * 3000 and max(seen) <= ann_batch.PAIRS + 256 * 1000
+
+
+CODED = {
+    "pq": lambda d: ann_batch.product(d, 2, 2),
+    "sq2": lambda d: ann_batch.scalar(d, 2),
+    "rotated": lambda d: ann_batch.rotated(d, 2),
+    "ivf_pq": lambda d: ann_batch.inverted(d, 4, 4, lambda x, centres: ann_batch.product(x, 2, 2, centres)),
+    "ivf_rotated": lambda d: ann_batch.inverted(d, 4, 4, lambda x, _: ann_batch.rotated(x, 2)),
+}
+
+
+@pytest.mark.parametrize("family", CODED)
+def test_search_through_coarse_codes_finds_the_nearest(family, spark):
+    """Codes far too coarse for the rows that are kept: what a code leaves open is ranked exactly, a query's own row first."""
+    x = np.random.default_rng(7).standard_normal((1500, 8)) * np.random.default_rng(8).uniform(0.5, 2, (1500, 1))
+    q, ids = x[::50], list(range(0, 1500, 50))
+    near = np.argsort(((q[:, None] - x[None]) ** 2).sum(2), axis=1, kind="stable")[:, :5]
+    found = ann_batch.search(CODED[family](table(spark, x)), q, ids, 5, 5).collect()
+    assert {(r["query_id"], r["rank"]): r["id"] for r in found} == {(i, n + 1): int(j) for i, row in zip(ids, near) for n, j in enumerate(row)}
+    assert all(r["distance"] == 0 for r in found if r["rank"] == 1)
+
+
+def test_search_by_another_metric_and_equal_rows(spark):
+    """Codes bound Euclidean distances only; equal vectors rank by id."""
+    x = np.repeat(np.random.default_rng(9).standard_normal((40, 8)), 5, 0)
+    near = np.lexsort((np.tile(np.arange(200), (10, 1)), (-x[:50:5] @ x.T).round(9)))[:, :7]
+    found = ann_batch.search(ann_batch.product(table(spark, x), 2, 2), x[:50:5], range(10), 7, 7, "dot").collect()
+    assert {(r["query_id"], r["rank"]): r["id"] for r in found} == {(i, n + 1): int(j) for i, row in enumerate(near) for n, j in enumerate(row)}

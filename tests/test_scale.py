@@ -1,5 +1,7 @@
 """Bounds that hold at any size, on small tables."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -62,3 +64,33 @@ def test_search_by_another_metric_and_equal_rows(spark):
     near = np.lexsort((np.tile(np.arange(200), (10, 1)), (-x[:50:5] @ x.T).round(9)))[:, :7]
     found = ann_batch.search(ann_batch.product(table(spark, x), 2, 2), x[:50:5], range(10), 7, 7, "dot").collect()
     assert {(r["query_id"], r["rank"]): r["id"] for r in found} == {(i, n + 1): int(j) for i, row in enumerate(near) for n, j in enumerate(row)}
+
+
+def test_queries_and_rows_meet_in_bounded_blocks(spark):
+    """However many queries there are, a scorer gets a block of them."""
+    x = np.random.default_rng(10).standard_normal((4000, 4))
+
+    def scorer(q):
+        def run(rows, _):
+            if len(q) * len(rows) > ann_batch.QUERIES * ann_batch.ROWS:
+                raise ValueError(f"{len(q)} queries by {len(rows)} rows at once")
+            return np.full((len(q), len(rows)), np.inf)
+
+        return run
+
+    index = ann_batch.Index(table(spark, x), (), scorer)
+    assert ann_batch.search(index, x, range(4000), 3).count() == ann_batch.within(index, x, range(4000), 0.1).count() == 0
+
+
+def test_buckets_of_all_tables_never_meet_at_once(spark):
+    x = np.random.default_rng(11).standard_normal((2000, 8))
+    index = ann_batch.hashed(table(spark, x[:10]), 64, 6)
+    planes = np.random.default_rng(42).standard_normal((64 * 6, 8))
+    codes = ((x @ planes.T > 0).reshape(2000, 64, 6) * (1 << np.arange(6))).sum(2)
+    score = index.scorer(x[:1000])
+    tracemalloc.start()
+    got = score(x, {"codes": codes})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * got.nbytes
+    assert (np.isfinite(got[:50]) == (codes[:50, None] == codes[None]).any(2)).all()

@@ -113,7 +113,8 @@ def lsh_pairs(spark, d):
 
 def dedup_first_wins(spark, d):
     v = vectors(spark, d)
-    both = v.select("id", "embedding").union(v.filter("id % 25 = 0").select(F.col("id") + 100_000, "embedding"))
+    after = max(100_000, (v.agg(F.max("id")).first()[0] or 0) + 1)  # a copy's id is no other row's
+    both = v.select("id", "embedding").union(v.filter("id % 25 = 0").select(F.col("id") + after, "embedding"))
     return ann.first_wins(both, ann.lsh_pairs(both, 1e-5)).select("id")
 
 

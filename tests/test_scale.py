@@ -5,7 +5,10 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from oracle import connect, differences
+
 from skein.operators import ann_batch
+from skein.queries import catalog
 
 
 def table(spark, x, ids=None):
@@ -94,3 +97,26 @@ def test_buckets_of_all_tables_never_meet_at_once(spark):
     tracemalloc.stop()
     assert peak < 3.5 * got.nbytes
     assert (np.isfinite(got[:50]) == (codes[:50, None] == codes[None]).any(2)).all()
+
+
+def test_copies_never_take_ids_of_other_rows(spark, tmp_path):
+    """Vectors with ids of 100,000 and more: the copies that dedup_first_wins adds are the rows that go, and no others."""
+    x = np.random.default_rng(12).standard_normal((60, 64))
+    ids = [*range(30), *range(100_000, 100_030)]
+    table(spark, x, ids).selectExpr("id AS vec_id", "embedding", "1 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run, sql = catalog()["dedup_first_wins"]
+    assert differences(run(spark, str(tmp_path)), connect(str(tmp_path)), sql) == ""
+
+
+def test_nodes_that_share_an_id_are_a_row_each(spark, tmp_path):
+    """Parts from 1,000,000 on have ids of suppliers."""
+    for name, rows, schema in (
+        ("part", [(k,) for k in (1, 11, 1_000_001, 1_000_002)], "p_partkey long"),
+        ("supplier", [(k,) for k in (1, 3)], "s_suppkey long"),
+        ("lineitem", [(1, 1, 1.0), (11, 1, 1.0), (1_000_001, 3, 1.0), (1_000_002, 1, 2.0)], "l_partkey long, l_suppkey long, l_quantity double"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = connect(str(tmp_path))
+    for query in ("remove_nodes", "degrees"):
+        run, sql = catalog()[query]
+        assert differences(run(spark, str(tmp_path)), con, sql) == ""

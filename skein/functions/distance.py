@@ -123,7 +123,7 @@ def of_pairs(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def rough(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
-    """matrix() by one product of matrices where the metric allows, and how far its values may be off."""
+    """matrix() by one product of matrices where the metric allows, and how far its values may be off (cosine: in single precision)."""
     if metric == "euclidean":
         qq, xx = (q * q).sum(1), (x * x).sum(1)
         d = q @ x.T
@@ -134,4 +134,8 @@ def rough(metric: str, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]
         return np.sqrt(d, out=d), 1e-6 * float(np.sqrt(qq.max(initial=0)) + np.sqrt(xx.max(initial=0)))
     if metric == "dot":
         return -(q @ x.T), 1e-9 * float(np.sqrt((q * q).sum(1).max(initial=0) * (x * x).sum(1).max(initial=0)))
+    if metric == "cosine":
+        unit = lambda v: (v / np.where((n := np.sqrt((v * v).sum(1))) == 0, 1, n)[:, None]).astype(np.float32)
+        d = unit(q) @ unit(x).T
+        return np.subtract(1, d, out=d), 1e-5
     return matrix(metric, q, x), 1e-9

@@ -68,13 +68,14 @@ class Nearest:
         """Take in a block of rows; may: which pairs of query and row count (queries by rows), all if left out."""
         if may is None or np.count_nonzero(may) > may.size >> 4:
             d, off = rough(self.metric, self.q, x)
-            if may is not None:
-                d[~may] = np.inf
             bound = self.bound()
             if len(ids) > self.k and (open_ := np.flatnonzero(np.isinf(bound))).size:
-                bound = bound.copy()
-                bound[open_] = np.partition(d[open_], self.k - 1, axis=1)[:, self.k - 1]
-            may = (d <= (bound + 2 * off)[:, None]) & (d < np.inf)  # the few rows that may enter
+                bound, some = bound.copy(), d[open_]
+                if may is not None:
+                    some[~may[open_]] = np.inf
+                bound[open_] = np.partition(some, self.k - 1, axis=1)[:, self.k - 1]
+            enters = d <= (bound + 2 * off).astype(d.dtype)[:, None]  # the few rows that may enter
+            may = enters if may is None else enters & may
         r, c = np.nonzero(may)
         if not len(r):
             return
@@ -140,33 +141,39 @@ def batch_topk(df: DataFrame, queries: np.ndarray, query_ids: Sequence[int], k:
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def join_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", rows_block: int = 32_768, query_block: int = 2048) -> DataFrame:
+def join_topk(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", vec_col: str = "embedding", rows_block: int = 65_536, query_block: int = 65_536) -> DataFrame:
     """batch_topk for a query table of any size (same columns as df): blocks of queries meet blocks of rows, a task each.
 
-    A pair of blocks hands on k rows a query; nothing of either table is collected.
+    A pair of blocks hands on k rows a query; nothing of either table is collected. Small tables are cut
+    into 8 blocks a side too, for as many tasks; all pairs are compared, so the work grows as their number.
+    A task holds its two blocks and k rows a query.
     """
     n, q = df.count(), queries.count()
-    rb, qb = max(1, -(-n // rows_block)), max(1, -(-q // query_block))
-    vector = F.col(vec_col).cast("array<double>")
+    rb, qb = (min(max(8, -(-m // block)), max(1, m // 1024)) for m, block in ((n, rows_block), (q, query_block)))
     salt = F.xxhash64(id_col)
-    a = df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.pmod(salt, F.lit(rb)).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"), F.lit(False).alias("asks"))
-    b = queries.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(rb - 1))).alias("r"), F.pmod(salt, F.lit(qb)).cast("int").alias("q"), F.lit(True).alias("asks"))
-
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        rows, asks = group[~group["asks"]].sort_values("id"), group[group["asks"]]
-        out = {"query_id": [], "id": [], "distance": []}
-        if len(rows) and len(asks):
-            x, ids = np.array(rows["vector"].tolist(), float), rows["id"].to_numpy()
-            for at in range(0, len(asks), 256):
-                part = asks.iloc[at : at + 256]
-                d = matrix(metric, np.array(part["vector"].tolist(), float), x)
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                out["query_id"] += np.repeat(part["id"].to_numpy(), order.shape[1]).tolist()
-                out["id"] += ids[order].ravel().tolist()
-                out["distance"] += np.take_along_axis(d, order, 1).ravel().tolist()
-        return pd.DataFrame(out)
-
-    near = a.unionByName(b).groupBy("r", "q").applyInPandas(best, "query_id long, id long, distance double")
+    own, other = (lambda m, name: F.pmod(salt, F.lit(m)).cast("int").alias(name)), (lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(name))
+    of = lambda d: d.filter(F.col(vec_col).isNotNull())
+    same = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vector"), F.size(vec_col).alias("size")]  # only vectors of one length compare
+    a = of(df).select(*same, own(rb, "r"), other(qb, "q"), F.lit(False).alias("asks"))
+    b = of(queries).select(*same, other(rb, "r"), own(qb, "q"), F.lit(True).alias("asks"))
+
+    def best(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        asks = group["asks"].to_numpy()
+        vectors = group["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        ids, found = group["id"].to_numpy(), []
+        at, rows = np.flatnonzero(asks), np.flatnonzero(~asks)
+        x, x_ids = vectors[rows].astype(float), ids[rows]
+        for i in range(0, len(at) if len(rows) else 0, 256):
+            mine = at[i : i + 256]
+            near = Nearest(vectors[mine].astype(float), k, metric)
+            for j in range(0, len(rows), 2048):
+                near.offer(x[j : j + 2048], x_ids[j : j + 2048])
+            found.append(near.found(ids[mine]))
+        return pa.Table.from_batches(found, pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())]))
+
+    met = a.unionByName(b).repartitionByRange(2 * rb * qb, "r", "q")  # by hash, some tasks would get several pairs of blocks
+    near = met.groupBy("r", "q", "size").applyInArrow(best, "query_id long, id long, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 

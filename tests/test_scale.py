@@ -7,7 +7,8 @@ import pytest
 
 from oracle import connect, differences
 
-from skein.operators import ann_batch
+from skein.functions.distance import METRICS, matrix, of_pairs
+from skein.operators import ann_batch, knn
 from skein.queries import catalog
 
 
@@ -120,3 +121,32 @@ def test_nodes_that_share_an_id_are_a_row_each(spark, tmp_path):
     for query in ("remove_nodes", "degrees"):
         run, sql = catalog()[query]
         assert differences(run(spark, str(tmp_path)), con, sql) == ""
+
+
+@pytest.mark.parametrize("metric", METRICS)
+def test_blocks_give_the_nearest_of_all(metric):
+    """Rows offered block by block, with equal rows, a zero row and few rows at first."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.standard_normal((300, 6)), np.zeros((1, 6)), np.repeat(rng.standard_normal((20, 6)), 4, 0)])
+    q, ids = x[::40], rng.permutation(len(x))
+    near = knn.Nearest(q, 7, metric)
+    for a, b in ((0, 3), (3, 200), (200, len(x))):
+        near.offer(x[a:b], ids[a:b])
+    for i, v in enumerate(q):
+        d = of_pairs(metric, np.repeat(v[None], len(x), 0), x)
+        order = np.lexsort((ids, d))[:7]
+        assert near.id[i].tolist() == ids[order].tolist() and np.allclose(d, matrix(metric, v[None], x)[0])
+
+
+def test_all_pairs_in_blocks(spark):
+    """More rows than a block, vectors of two lengths, a null one: neighbours are those of brute force, vectors of one length among themselves."""
+    rng = np.random.default_rng(14)
+    short, long = rng.standard_normal((40, 3)), rng.standard_normal((500, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate([*short, *long])] + [(540, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in knn.join_topk(df, df, 4, rows_block=128, query_block=100).collect()}
+    want = {}
+    for first, x in ((0, short), (40, long)):
+        for i, near in enumerate(np.argsort(matrix("cosine", x, x), axis=1, kind="stable")[:, :4]):
+            want |= {(first + i, n + 1): first + int(j) for n, j in enumerate(near)}
+    assert got == want

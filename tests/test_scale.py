@@ -1,14 +1,18 @@
 """Bounds that hold at any size, on small tables."""
 
+import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from oracle import connect, differences
 
+from skein.functions import text
 from skein.functions.distance import METRICS, matrix, of_pairs
 from skein.operators import ann_batch, knn
+from skein.operators import text_search as ts
 from skein.queries import catalog
 
 
@@ -150,3 +154,62 @@ def test_all_pairs_in_blocks(spark):
         for i, near in enumerate(np.argsort(matrix("cosine", x, x), axis=1, kind="stable")[:, :4]):
             want |= {(first + i, n + 1): first + int(j) for n, j in enumerate(near)}
     assert got == want
+
+
+DOCS = [(1, "the dogs ran, the dogs"), (1, "a dogs ran of it"), (2, None), (3, ""), (4, "Dog the dog THE dog the"), (5, "cats"), (None, "the dog")]
+
+
+def docs(spark):
+    return spark.createDataFrame(DOCS, "doc_id long, text string")
+
+
+def test_index_stats_counts_documents_that_share_an_id(spark):
+    """Two documents of one id and length hold their terms each."""
+    words = [re.findall("[a-z0-9]+", (t or "").lower()) for _, t in DOCS]
+    got = ts.index_stats(docs(spark)).first()
+    assert (got["documents"], got["terms"], got["postings"]) == (7, len({w for x in words for w in x}), sum(len(set(x)) for x in words))
+    assert got["avg_len"] == pytest.approx(sum(map(len, words)) / 7)
+    none = ts.index_stats(docs(spark).limit(0)).first()
+    assert tuple(none) == (0, 0, 0, None)
+
+
+def test_postings_are_a_row_a_document_and_term(spark, tmp_path):
+    index = ts.Postings.build(docs(spark), f"{tmp_path}/index")
+    want = []
+    for i, t in DOCS:
+        x = re.findall("[a-z0-9]+", (t or "").lower())
+        want += [(w, i, len(x), [n for n, v in enumerate(x) if v == w]) for w in set(x)]
+    assert sorted(map(repr, map(tuple, index.rows.select("term", "doc_id", "doc_len", "positions").collect()))) == sorted(map(repr, want))
+    assert tuple(index.stats.select("n_docs", "avg_len").first()) == (7, pytest.approx(sum(len(p) for *_, p in want) / 7))
+    assert {r["doc_id"]: r["positions"] for r in index.phrase("the dog the").collect()} == {4: [1, 3]}
+    assert index.phrase("the bird").count() == index.phrase("zebra").count() == 0
+    empty = ts.Postings.build(docs(spark).limit(0), f"{tmp_path}/none")
+    assert empty.rows.count() == empty.search("dog", 3).count() == 0 and tuple(empty.stats.first()) == (0, None)
+
+
+def test_postings_come_in_sorted_runs(monkeypatch):
+    """A run holds RUN tokens at most, unless a document is longer."""
+    rng = np.random.default_rng(15)
+    words = [[str(w) for w in rng.integers(0, 30, n)] for n in (5, 0, 40, 7, 8, 3, 0)]
+    monkeypatch.setattr(ts, "RUN", 16)
+    whole = pa.RecordBatch.from_pydict({"doc_id": pa.array([90, *range(7)]), "t": pa.array([["x"], *words], pa.list_(pa.string()))})
+    runs = list(ts._runs([whole.slice(1)]))
+    assert [r.column("doc_len")[-1].as_py() for r in runs] == [5, 40, 15, 3]
+    rows = []
+    for r in runs:
+        found = r.slice(0, r.num_rows - 1).to_pylist()
+        assert [(x["term"], x["doc_id"]) for x in found] == sorted((x["term"], x["doc_id"]) for x in found)
+        rows += [(x["doc_id"], x["term"], x["doc_len"], x["positions"]) for x in found]
+    assert sorted(rows) == sorted((i, w, len(x), [n for n, v in enumerate(x) if v == w]) for i, x in enumerate(words) for w in set(x))
+    assert sum(r.column("positions")[-1].as_py()[0] for r in runs) == 7
+
+
+@pytest.mark.parametrize("language", [None, "en"])
+def test_phrases_of_documents_that_share_an_id(language, spark):
+    """A document is a row, scored by its own counts, whatever other document has its id."""
+    found = ts.phrase_search(docs(spark), "the dog" if language else "the dogs", language=language).collect()
+    want = {(1, (0, 3)), (4, (1, 3)), (None, (0,))} if language else {(1, (0, 3))}
+    assert {(r["doc_id"], tuple(r["positions"])) for r in found} == want and len(found) == len(want)
+    flat = [(str(i), " ".join(text.stem(w) for w in re.findall("[a-z0-9]+", (t or "").lower())) if language else t) for i, t in enumerate(t for _, t in DOCS)]
+    scores = {r["doc_id"]: r["score"] for r in ts.bm25(spark.createDataFrame(flat, "doc_id string, text string"), ["the", "dog" if language else "dogs"]).collect()}
+    assert {round(r["score"], 9) for r in found} == {round(scores[i], 9) for i in (("0", "4", "6") if language else ("0",))}

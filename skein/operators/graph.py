@@ -19,6 +19,15 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+#: Rows of a frontier that are sent to all executors, at most (some MB); a larger one is shuffled.
+FRONT = 50_000
+
+
+def shuffled(table: DataFrame) -> DataFrame:
+    """A table that grows with the graph, to be joined by a shuffle: its file may be small enough for a broadcast through the driver, what it holds isn't."""
+    return table.hint("merge")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, in_degree, out_degree, degree); a self loop counts in both."""
     ends = edges.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
@@ -81,15 +90,17 @@ def shortest_paths(edges: DataFrame, start: int, weighted: bool = True, max_roun
     weight = F.greatest(F.col("weight").cast("double"), F.lit(0.0)) if weighted else F.lit(1.0)
     steps = settle(edges.select("src", "dst", weight.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")), "steps")
     best = settle(edges.sparkSession.range(start, start + 1).select("id", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("parent")), "costs")
-    front = best
+    front, size = best, 1
     for _ in range(max_rounds):
-        tried = front.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("parent"))
+        few = F.broadcast(front) if size <= FRONT else shuffled(front)
+        tried = steps.join(few, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("parent"))
         tried = tried.groupBy("id").agg(F.min(F.struct("cost", "parent")).alias("m")).select("id", "m.cost", "m.parent")
         known = best.select("id", F.col("cost").alias("old"))
-        better = settle(tried.join(known, "id", "left").filter("old IS NULL OR cost < old").select("id", "cost", "parent"), "front")
-        if better.isEmpty():
+        better = settle(tried.join(shuffled(known), "id", "left").filter("old IS NULL OR cost < old").select("id", "cost", "parent"), "front")
+        size = better.count()
+        if not size:
             break
-        fresh = settle(best.join(better.select("id"), "id", "left_anti").union(better), "costs")
+        fresh = settle(best.join(shuffled(better.select("id")), "id", "left_anti").union(better), "costs")
         drop(best)
         best, front = fresh, better
     return best
@@ -126,15 +137,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = settle(edges.join(out, "src").select("src", "dst", "out"), "links")
-    sinks = settle(nodes.select("id").join(out, nodes["id"] == out["src"], "left").select("id", F.col("out").isNull().alias("sink")), "sinks")
-    ranks = settle(sinks.select("id", "sink", F.lit(1.0 / n).alias("rank")), "ranks")
+    out = edges.groupBy(F.col("src").alias("from")).agg(F.count(F.lit(1)).alias("out"))
+    links = settle(edges.select("src", "dst"), "links")
+    points = settle(nodes.select("id").join(shuffled(out), F.col("id") == F.col("from"), "left").select("id", "out"), "points")
+    ranks = settle(points.select("id", "out", F.lit(1.0 / n).alias("rank")), "ranks")
     for _ in range(iterations):
-        lost = ranks.filter("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
+        lost = ranks.filter("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        share = ranks.filter("out IS NOT NULL").select("id", (F.col("rank") / F.col("out")).alias("share"))
+        given = links.join(shuffled(share), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum("share").alias("given"))
         rank = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("given", F.lit(0.0))
-        fresh = settle(sinks.join(given, sinks["id"] == given["dst"], "left").select("id", "sink", rank.alias("rank")), "ranks")
+        fresh = settle(points.join(shuffled(given), F.col("id") == F.col("dst"), "left").select("id", "out", rank.alias("rank")), "ranks")
         drop(ranks)
         ranks = fresh
     return ranks.select("id", "rank")

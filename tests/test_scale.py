@@ -11,7 +11,7 @@ from oracle import connect, differences
 
 from skein.functions import text
 from skein.functions.distance import METRICS, matrix, of_pairs
-from skein.operators import ann_batch, knn
+from skein.operators import ann_batch, graph, knn
 from skein.operators import text_search as ts
 from skein.queries import catalog
 
@@ -213,3 +213,27 @@ def test_phrases_of_documents_that_share_an_id(language, spark):
     flat = [(str(i), " ".join(text.stem(w) for w in re.findall("[a-z0-9]+", (t or "").lower())) if language else t) for i, t in enumerate(t for _, t in DOCS)]
     scores = {r["doc_id"]: r["score"] for r in ts.bm25(spark.createDataFrame(flat, "doc_id string, text string"), ["the", "dog" if language else "dogs"]).collect()}
     assert {round(r["score"], 9) for r in found} == {round(scores[i], 9) for i in (("0", "4", "6") if language else ("0",))}
+
+
+def test_graph_iterations_send_no_table_of_the_graph_to_all(spark, monkeypatch):
+    """Tables that grow with the graph are joined by shuffles, however small their files are; a large frontier too."""
+    plans = []
+    settle = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, label: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or settle(df, label))
+    monkeypatch.setattr(graph, "FRONT", 0, raising=False)
+    rng = np.random.default_rng(16)
+    pairs = [(int(a), int(b), "x", float(w)) for a, b, w in zip(rng.integers(0, 40, 150), rng.integers(0, 40, 150), rng.integers(1, 9, 150))]
+    e = settle(spark.createDataFrame(pairs, "src long, dst long, label string, weight double"), "edges")
+    ranks = {r["id"]: r["rank"] for r in graph.pagerank(settle(spark.range(41), "nodes"), e, 3).collect()}
+    paths = {r["id"]: r["cost"] for r in graph.shortest_paths(e, 0).collect()}
+    assert sum("SortMergeJoin" in p for p in plans) >= 6 and not any("BroadcastHashJoin" in p for p in plans)
+    rank, out = np.full(41, 1 / 41), np.bincount([a for a, *_ in pairs], minlength=41)
+    for _ in range(3):
+        given = np.bincount([b for _, b, *_ in pairs], [rank[a] / out[a] for a, *_ in pairs], 41)
+        rank = 0.15 / 41 + 0.85 * rank[out == 0].sum() / 41 + 0.85 * given
+    cost = {0: 0.0}
+    for _ in range(41):
+        for a, b, _x, w in pairs:
+            if a in cost and cost[a] + w < cost.get(b, np.inf):
+                cost[b] = cost[a] + w
+    assert ranks == pytest.approx(dict(enumerate(rank))) and paths == pytest.approx(cost)
